@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: module of this package; the function there has the query's name
 _MODULES = {
+    "op3_jaccard_join": "jaccard",
+    "op5_suffix_dedup": "repeats",
     "op7_token_store": "token_store",
     "op9_packing": "packing",
 }
