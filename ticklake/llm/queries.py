@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: module of this package; the function there has the query's name
 _MODULES = {
+    "op2_quality_classifier": "quality",
     "op3_jaccard_join": "jaccard",
+    "op4_language_id": "language",
     "op5_suffix_dedup": "repeats",
     "op7_token_store": "token_store",
+    "op8_line_rules": "line_rules",
     "op9_packing": "packing",
 }
 
