@@ -22,7 +22,7 @@ from ticklake.llm import pfor
 from ticklake.llm.common import documents, rows, shared_dir
 from ticklake.llm.tokens import default_path, encoder
 
-CHUNK_IDS = 1 << 16
+CHUNK_IDS = 1 << 19
 _CHUNKS = "part int, chunk int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<long>, blob binary"
 _ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("blob", pa.binary())])
 
