@@ -15,6 +15,7 @@ _MODULES = {
     "op3_jaccard_join": "jaccard",
     "op4_language_id": "language",
     "op5_suffix_dedup": "repeats",
+    "op6_vector_links": "vectors",
     "op7_token_store": "token_store",
     "op8_line_rules": "line_rules",
     "op9_packing": "packing",
