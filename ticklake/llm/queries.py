@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: module of this package; the function there has the query's name
 _MODULES = {
+    "op1_piece_dropout": "pieces",
     "op2_quality_classifier": "quality",
     "op3_jaccard_join": "jaccard",
     "op4_language_id": "language",
@@ -19,6 +20,7 @@ _MODULES = {
     "op7_token_store": "token_store",
     "op8_line_rules": "line_rules",
     "op9_packing": "packing",
+    "op10_html_text": "html_text",
 }
 
 
