@@ -29,3 +29,10 @@ def query(name: str, sql: str | None = None) -> Callable:
         return run
 
     return add
+
+
+def load() -> dict[str, Query]:
+    """All queries; the modules that hold them are imported on first use."""
+    from ticklake.plans import books, codecs, scans, times, values  # noqa: F401
+
+    return QUERIES
