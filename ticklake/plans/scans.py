@@ -121,6 +121,15 @@ def raw_scan_report(spark: SparkSession, d: str) -> DataFrame:
     return frames(read_ticks(spark, d)).groupBy("venue").agg(F.count("*").alias("records"), F.sum(size).alias("payload_bytes"), (F.sum(size + 25) + 32).cast("bigint").alias("valid_bytes"))
 
 
+@query("raw_scan", _FRAMES + "SELECT venue, recv_mono, payload FROM frame")
+def raw_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Frames written as segment images and read back record by record."""
+    from ticklake.sources import segments
+
+    got = segments.records(segments.images(frames(read_ticks(spark, d))))
+    return got.select("venue", "recv_mono", F.col("payload").cast("string").alias("payload"))
+
+
 @query("per_venue_cap", _FRAMES + "SELECT venue, event_id, sub FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY recv_mono, event_id, sub) AS n FROM frame) WHERE n <= 100")
 def per_venue_cap(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("venue").orderBy(*S.ORDER)

@@ -9,7 +9,7 @@ from ticklake import schema as S
 from ticklake.operators import aggregates as A
 from ticklake.operators import series
 from ticklake.plans.registry import query
-from ticklake.plans.sql import TICKS
+from ticklake.plans.sql import STATE, TICKS
 from ticklake.sources.ticks import read_events, read_ticks
 
 _TRADES = TICKS + """, ids AS (SELECT instrument, recv_mono, event_id, row_number() OVER (PARTITION BY instrument ORDER BY recv_mono, event_id, sub) AS id FROM tick WHERE kind = 3),
@@ -165,6 +165,28 @@ def stream_minute_counts(spark: SparkSession, d: str) -> DataFrame:
     return hourly_counts(spark, f"{d}/events.parquet")
 
 
+@query("stream_trade_gaps", _TRADES + ", s AS (SELECT *, max(id) OVER (PARTITION BY instrument ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM trade) SELECT instrument, id, id - seen - 1 AS missed FROM s WHERE id > seen + 1")
+def stream_trade_gaps(spark: SparkSession, d: str) -> DataFrame:
+    from ticklake.sources.store import scratch
+    from ticklake.streaming import stateful
+
+    path = scratch(spark, "trades")
+    _trades(spark, d).select("instrument", "spot", "id").coalesce(1).write.parquet(path)
+    return stateful.drain(spark, path, "instrument int, spot bigint, id bigint", stateful.trade_gaps)
+
+
+@query("stream_book_tops", STATE + """, f AS (SELECT instrument, max(epoch) AS epoch FROM state GROUP BY 1),
+ l AS (SELECT s.instrument, s.side, s.price, arg_max(s.qty, s.place) AS qty FROM state s JOIN f USING (instrument, epoch) WHERE s.effective GROUP BY ALL)
+ SELECT t.instrument, max(t.recv_mono) AS recv_mono, any_value(b.bid) AS bid, any_value(b.ask) AS ask FROM tick t LEFT JOIN (SELECT instrument, max(CASE WHEN side = 'B' THEN price END) AS bid, min(CASE WHEN side = 'A' THEN price END) AS ask FROM l WHERE qty <> 0 GROUP BY 1) b USING (instrument) GROUP BY 1""")
+def stream_book_tops(spark: SparkSession, d: str) -> DataFrame:
+    from ticklake.sources.store import scratch
+    from ticklake.streaming import stateful
+
+    path = scratch(spark, "ticks")
+    read_ticks(spark, d).coalesce(1).write.parquet(path)
+    return stateful.drain(spark, path, S.TICK, stateful.book_tops)
+
+
 @query("ring_lag_model", TICKS + ", h AS (SELECT instrument, count(*) AS head FROM tick GROUP BY instrument) SELECT instrument, head, CASE WHEN head > 64 THEN greatest(1, head - 64 - 10) ELSE 0 END AS lost, head - 10 AS lag FROM h")
 def ring_lag_model(spark: SparkSession, d: str) -> DataFrame:
     """A reader that stopped after ten messages of a ring of 64: what it lost, and its lag."""

@@ -54,6 +54,7 @@ def merge(streams: list[DataFrame]) -> DataFrame:
 def discover(listing: DataFrame) -> DataFrame:
     """Segments of a file listing (``path``): venue, start_wall, path, compressed; of a
     plain file and its compressed twin the compressed one."""
+    # fixed values: venue folders and the endings of plain and compressed segments
     name = r"^(coinbase|binance|kraken)/.*-([0-9]+)\.fbraw(\.zst)?$"
     found = listing.where(F.col("path").rlike(name)).select(
         F.regexp_extract("path", name, 1).alias("venue"), F.regexp_extract("path", name, 2).cast("bigint").alias("start_wall"), (F.regexp_extract("path", name, 3) != "").alias("compressed"), "path"
