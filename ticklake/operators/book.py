@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -113,32 +114,35 @@ def fold(ticks: DataFrame, cap: int | None = None) -> DataFrame:
     """The book after every effective tick, by an ordered fold of each level epoch.
 
     Epochs begin with an empty book, so they are independent, with a depth cap too: the
-    fold runs for each (instrument, epoch) and no instrument is one task."""
-
-    def run(epoch: pd.DataFrame) -> pd.DataFrame:
-        epoch = epoch.sort_values(list(S.ORDER))
-        books: dict[str, dict[int, int]] = {"B": {}, "A": {}}
-        best: dict[str, tuple[int, int] | None] = {"B": None, "A": None}
-        out = []
-        for r in epoch.itertuples(index=False):
-            book, sign = books[r.side], -1 if r.side == "B" else 1
-            if r.qty == 0:
-                book.pop(r.price, None)
-            else:
-                book[r.price] = r.qty
-                if cap is not None and len(book) > cap:
-                    del book[max(book, key=lambda p: sign * p)]
-            price = min(book, key=lambda p: sign * p) if book else None
-            now = None if price is None else (price, book[price])
-            changed = now != best[r.side] or r.kind in (S.SNAP_BID, S.SNAP_ASK)
-            best[r.side] = now
-            (bid, bid_qty), (ask, ask_qty) = (best[s] or (None, None) for s in "BA")
-            out.append((r.instrument, r.epoch, r.recv_mono, r.event_id, r.sub, bid, bid_qty, ask, ask_qty, len(books["B"]), len(books["A"]), changed))
-        names = [p.split()[0] for p in _FOLD.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in ("bid", "bid_qty", "ask", "ask_qty")})
+    rows are dealt by (instrument, epoch) and no instrument is one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by epoch and order; one book is held at a time."""
+        names, kinds = [p.split()[0] for p in _FOLD.split(", ")], {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+        types = [kinds[p.split()[1]] for p in _FOLD.split(", ")]
+        key, books, best = None, {}, {}
+        for batch in batches:
+            out = []
+            for instrument, epoch, kind, s, price, qty, mono, event, sub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (instrument, epoch) != key:
+                    key, books, best = (instrument, epoch), {"B": {}, "A": {}}, {"B": None, "A": None}
+                levels, pick = books[s], max if s == "B" else min
+                if qty == 0:
+                    levels.pop(price, None)
+                else:
+                    levels[price] = qty
+                    if cap is not None and len(levels) > cap:
+                        del levels[min(levels) if s == "B" else max(levels)]
+                top = pick(levels) if levels else None
+                now = None if top is None else (top, levels[top])
+                changed = now != best[s] or kind in (S.SNAP_BID, S.SNAP_ASK)
+                best[s] = now
+                out.append((instrument, epoch, mono, event, sub, *(best["B"] or (None, None)), *(best["A"] or (None, None)), len(books["B"]), len(books["A"]), changed))
+            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     moves = with_state(ticks).where("effective").select("instrument", "epoch", "kind", side().alias("side"), "price", "qty", *S.ORDER)
-    return moves.groupBy("instrument", "epoch").applyInPandas(run, _FOLD)
+    return moves.repartition("instrument", "epoch").sortWithinPartitions("instrument", "epoch", *S.ORDER).mapInArrow(run, _FOLD)
 
 
 def _fnv(data: bytes, state: int = 0xCBF29CE484222325) -> int:
