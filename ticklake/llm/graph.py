@@ -15,7 +15,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """Rows (node, component) for every node with an edge; component is the smallest
     node reachable.  Self-loops, repeated and reversed edges are harmless; rows with
     a null end are ignored.  An empty input gives an empty result."""
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    given = edges.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low"), F.col(a).isNull().alias("x"), F.col(b).isNull().alias("y")).where("not x and not y")
+    down = table(given.select("high", "low").distinct(), "down")
+    # a node keeps one edge, to its least neighbour below; its other neighbours below get
+    # theirs to that one, so many stars over the same nodes shrink to about an edge a node
+    least = table(down.groupBy("high").agg(F.min("low").alias("least")), "least")
+    across = down.join(least, "high").where("low <> least or high = low").select(F.col("low").alias("a"), F.col("least").alias("b"))
+    pairs = least.select(F.col("high").alias("a"), F.col("least").alias("b")).unionByName(across.distinct())
     both = table(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     for _ in range(rounds):

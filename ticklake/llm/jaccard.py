@@ -3,7 +3,7 @@
 Texts are folded to lower-case words; equal word sequences are one class.  Classes that
 share a band hash become candidates, candidates are gathered into candidate components,
 and each component is verified in square tiles of bounded size by one matrix product of
-n-gram indicators.  No pair is ever a row: a tile gives link counts and a spanning forest.
+n-gram indicators.  No pair is ever a row: a tile gives link counts, and a star for each group in it.
 """
 
 from __future__ import annotations
@@ -95,8 +95,8 @@ def _overlaps(count: int, row: np.ndarray, col: np.ndarray, width: int, step: in
     return out
 
 
-def tile_links(linked: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, weights: np.ndarray):
-    """Weighted link counts and spanning edges of one tile.  ``linked``: symmetric
+def tile_links(linked: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, weights: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Weighted link counts and the connected groups of one tile.  ``linked``: symmetric
     boolean matrix over the tile's members; in a tile of two blocks only pairs across count."""
     linked = linked.copy()
     np.fill_diagonal(linked, False)
@@ -104,19 +104,19 @@ def tile_links(linked: np.ndarray, left: np.ndarray, right: np.ndarray, same: bo
         linked[np.ix_(left, left)] = False
         linked[np.ix_(right, right)] = False
     counts = linked @ weights
-    edges: list[tuple[int, int]] = []
+    groups: list[list[int]] = []
     new = linked.any(axis=1)
     while new.any():
-        root = int(np.flatnonzero(new)[0])
-        new[root] = False
-        front = [root]
+        front = [int(np.flatnonzero(new)[0])]
+        new[front[0]] = False
+        group = list(front)
         while front:
-            at = front.pop()
-            reach = np.flatnonzero(linked[at] & new)
+            reach = np.flatnonzero(linked[front.pop()] & new).tolist()
             new[reach] = False
-            edges += [(at, int(x)) for x in reach]
-            front += reach.tolist()
-    return counts, edges
+            group += reach
+            front += reach
+        groups.append(group)
+    return counts, groups
 
 
 def tiles(members: DataFrame, sizes: DataFrame, key: str, tile: int = TILE) -> DataFrame:
@@ -180,16 +180,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
             inter = _overlaps(len(own), row, col, width)
             linked = inter / (size[:, None] + size[None, :] - inter) >= threshold
             block = np.array([x["block"] for x in own])
-            counts, edges = tile_links(linked, np.flatnonzero(block == i), np.flatnonzero(block == j), i == j, np.array([x["copies"] for x in own], np.int64))
+            counts, groups = tile_links(linked, np.flatnonzero(block == i), np.flatnonzero(block == j), i == j, np.array([x["copies"] for x in own], np.int64))
             for x, w in zip(own, counts.tolist(), strict=True):
                 if w:
                     out_a.append(x["key"])
                     out_b.append(None)
                     out_w.append(w)
-            for u, v in edges:
-                out_a.append(own[u]["key"])
-                out_b.append(own[v]["key"])
-                out_w.append(0)
+            for members in groups:
+                head, *rest = sorted(own[u]["key"] for u in members)
+                out_a += rest
+                out_b += [head] * len(rest)
+                out_w += [0] * len(rest)
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary()), "w": pa.array(out_w, pa.int64())})
 
     prepare(spark)
