@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.llm.common import documents, mix, prepare, rows, table
@@ -168,7 +168,8 @@ _MARKS = "key binary, ck binary, first array<int>, last array<int>"
 def _mark(contexts: DataFrame, widths: tuple[int, ...], length: int, hot: int) -> DataFrame:
     """Contexts (owner, at, key, ctx, off, n): window w of ``ctx`` is window at + w of
     ``owner``, at offset off - w before its anchor, and stands for n occurrences.
-    Gives (owner, first, last): runs of repeated windows of the owner."""
+    Gives (owner, runs): runs (first, last) of repeated windows of the owner, a row for
+    each context that has any."""
     spark = contexts.sparkSession
     contexts = table(contexts.withColumn("ck", F.unhex(F.md5("ctx"))), "contexts")
     distinct = table(contexts.groupBy("key", "ck").agg(F.sum("n").alias("n"), F.first("ctx").alias("ctx"), F.first("off").alias("off")), "distinct")
@@ -222,12 +223,30 @@ def _mark(contexts: DataFrame, widths: tuple[int, ...], length: int, hot: int) -
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64()], strict=True)], names=["owner", "at", "key", "ctx", "off", "n"])
 
             finer = _mark(heavy.mapInArrow(split, "owner binary, at int, key binary, ctx binary, off int, n long"), widths[1:], length, hot if widths[1:] else 1 << 30)
-            whole = finer.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("x"))
+            whole = _by_owner(finer).withColumn("x", _merged(F.col("runs")))
             again = whole.select(F.expr("substring(owner, 1, length(owner) - 16)").alias("key"), F.expr("substring(owner, length(owner) - 15, 16)").alias("ck"), F.col("x.first").alias("first"), F.col("x.last").alias("last"))
             marked = marked.unionByName(again)
     marked = table(marked, "marked")
     back = contexts.select("owner", "at", "key", "ck").join(marked, ["key", "ck"])
-    return back.select("owner", "at", F.explode(F.arrays_zip("first", "last")).alias("x")).select("owner", (F.col("at") + F.col("x.first")).alias("first"), (F.col("at") + F.col("x.last")).alias("last"))
+    shifted = F.transform(F.arrays_zip("first", "last"), lambda x: F.struct((F.col("at") + x["first"]).alias("first"), (F.col("at") + x["last"]).alias("last")))
+    return back.select("owner", shifted.alias("runs"))
+
+
+def _by_owner(marks: DataFrame) -> DataFrame:
+    """All runs of an owner in one sorted array; an owner is one context or one document."""
+    return marks.groupBy("owner").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+
+
+def _merged(runs: Column) -> Column:
+    """Sorted runs with those that touch joined."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))
+        return F.when(F.coalesce(last["last"] + 1 >= x["first"], F.lit(False)), joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<first:int,last:int>>"), add)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -271,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             yield _batch(out, kinds)
 
     contexts = held.mapInArrow(cut, "owner long, at int, key binary, ctx binary, off int, n long")
-    spans = _mark(contexts, WIDTHS, length, hot).groupBy(F.col("owner").alias("row_id")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    spans = _by_owner(_mark(contexts, WIDTHS, length, hot)).withColumnRenamed("owner", "row_id")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
