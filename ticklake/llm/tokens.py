@@ -12,10 +12,12 @@ import re
 
 import numpy as np
 
-_CLOSE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
-#: Characters that Python's and Unicode's notions of white space do not share.
-_UNLIKE = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: A space before white space, where no piece starts.
+_CLOSE = ("  ", " \n", " \t", " \r", " \v", " \f")
+#: Characters that Python's and Unicode's notions of white space do not share, and white space beyond ASCII.
+_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_UNLIKE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: The pre-tokenizer's pieces of a part in ASCII.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _KEPT: dict[str, "WordEncoder"] = {}
@@ -38,7 +40,7 @@ class WordEncoder:
     """``encode(texts)`` gives, for each text, its ids as little-endian uint32 bytes.
     Null counts as empty.  Texts that spell a special token are ordinary text."""
 
-    def __init__(self, path: str, limit: int = 900_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 1_200_000, longest: int = 48):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,6 +56,7 @@ class WordEncoder:
             self.leads[i] = token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         # the byte alphabet: printable characters stand for themselves, the rest follow from 256
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
@@ -72,55 +75,63 @@ class WordEncoder:
         raw, edges = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
         return {w: raw[a:b] for w, a, b in zip(words, edges, edges[1:], strict=False)}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of " " + word for each word; words hold no space, so that ids that begin with a space start a word."""
-        found: dict[str, bytes] = {}
-        simple, words = [w for w in words if w.isalpha() or w.isascii()], [w for w in words if not (w.isalpha() or w.isascii())]
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        pieces, letters = self.pieces, self.letters
-        cut = {w: (" " + w,) if w.isalpha() else _ASCII.findall(" " + w) for w in simple}
-        fresh = {x for raw in cut.values() for x in raw if x not in pieces}
-        words_in = [x for x in fresh if x[0] == " "]
-        for i in range(0, len(words_in), 4000):
-            part = words_in[i : i + 4000]
-            mapped = " ".join(["Ġ" + x[1:].encode().decode("latin-1").translate(letters) for x in part])
-            pieces.update(self._split(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, part))
-        for x in fresh:
-            if x[0] != " ":
-                pieces[x] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(letters))])
-        found.update((w, pieces[raw[0]] if len(raw) == 1 else b"".join([pieces[x] for x in raw])) for w, raw in cut.items())
-        for i in range(0, len(words), 4000):
-            part = words[i : i + 4000]
-            found.update(self._split(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, part))
-        return found
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of " " + word into the cache for each word; words hold no space."""
+        known, pieces = self.known, self.pieces
+        marked = {w: _ASCII.findall(" " + w) for w in words if w.isascii() and not w.isalpha()}
+        fresh = {w for w in words if w.isalpha()}
+        for cut in marked.values():
+            if cut[0][0] == " " and cut[0][1:].isalpha():
+                fresh.add(cut[0][1:])
+        letters = self.letters
+        alpha = [w for w in fresh if w not in known]
+        for i in range(0, len(alpha), 4000):
+            part = alpha[i : i + 4000]
+            mapped = " ".join(["Ġ" + w.encode().decode("latin-1").translate(letters) for w in part])
+            known.update(self._split(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, part))
+        for w, cut in marked.items():
+            raw = []
+            for x in cut:
+                got = known.get(x[1:]) if x[0] == " " and x[1:].isalpha() else pieces.get(x)
+                if got is None:
+                    got = pieces[x] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(letters))])
+                raw.append(got)
+            known[w] = b"".join(raw)
+        rest = [w for w in words if not (w.isascii() or w.isalpha())]
+        for i in range(0, len(rest), 4000):
+            part = rest[i : i + 4000]
+            known.update(self._split(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, part))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         plain: list[tuple[int, str, list[str]]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
             if text:
-                if _UNLIKE.search(text):
+                if any(map(text.__contains__, _CONTROLS)) if text.isascii() else _UNLIKE.search(text):
                     whole.append(i)
                 else:
-                    first, *rest = _CUT.split(text) if _CLOSE.search(text) else text.split(" ")
+                    first, *rest = _CUT.split(text) if text[-1] == " " or any(map(text.__contains__, _CLOSE)) else text.split(" ")
                     plain.append((i, first, rest))
         need: set[str] = set()
         for _, _, rest in plain:
             need.update(rest)
-        if len(self.known) > self.limit:
-            self.known.clear()
-        fresh = [w for w in need if w not in self.known]
+        for cache in (self.known, self.pieces, self.heads):
+            if len(cache) > self.limit:
+                cache.clear()
+        known = self.known
+        fresh = [w for w in need if w not in known]
         spaced = [w for w in fresh if " " in w or len(w) > self.longest]
         once = dict(zip(spaced, self._library([" " + w for w in spaced]), strict=True))
-        self.known.update(self._learn([w for w in fresh if " " not in w and len(w) <= self.longest]))
-        known = self.known
+        self._learn([w for w in fresh if " " not in w and len(w) <= self.longest])
         if once:
-            known = known | once if len(known) < 10_000 else _Both(known, once)
+            known = _Both(known, once)
+        firsts = list({first for _, first, _ in plain if first not in self.heads})
+        heads = dict(zip(firsts, self._library(firsts), strict=True))
+        self.heads.update((w, x) for w, x in heads.items() if len(w) <= self.longest)
         out = [b""] * len(texts)
-        heads = self._library([first for _, first, _ in plain])
-        for (i, _, rest), head in zip(plain, heads, strict=True):
-            out[i] = head + b"".join(map(known.__getitem__, rest))
+        for i, first, rest in plain:
+            head = self.heads.get(first)
+            out[i] = (heads[first] if head is None else head) + b"".join(map(known.__getitem__, rest))
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
