@@ -154,6 +154,19 @@ def test_vectors(spark):
     assert sum(got.values()) >= 0.97 * true.sum() > 0
 
 
+def test_vectors_links_between_tight_groups(spark):
+    rng = np.random.default_rng(4)
+    first, other = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+    second = 0.937 * first + np.sqrt(1 - 0.937**2) * other
+    x = np.vstack([c + 0.006 * rng.standard_normal((50, 24)) for c in (first, second)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = vectors.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+    assert {r.component_id for r in got} == {0}
+
+
 def test_base_counts():
     text = "a b c a b c\nx\nx\n\n#b c a b $"
     words = text.split()

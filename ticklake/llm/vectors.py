@@ -1,8 +1,9 @@
 """Embedding near-duplicates by NN-descent.
 
 A neighbour graph starts from random-hyperplane cells and is refined by joins of
-neighbours of neighbours.  A list is saturated when its last entry still links; such lists
-are enlarged to their whole component of the threshold graph, compared in square tiles.
+neighbours of neighbours.  A component of list edges is compared whole in square tiles.  A
+list is saturated when its last entry still links, so it may lack links to other components;
+cells of saturated nodes are compared wherever their centres and radii leave room for a link.
 A bounded sample is compared with every vector to audit recall; below the target the
 search goes on from new cells.
 """
@@ -24,6 +25,8 @@ from ticklake.llm.jaccard import tile_links, tiles
 NEIGHBOURS, TREES, CELL, TILE = 10, 4, 400, 256
 #: Rounds of refinement at most, and the share of changed lists below which it stops.
 ROUNDS, SETTLED = 4, 0.01
+#: Radians by which angles may be off.
+SLACK = 1e-6
 #: Vectors compared with all others in the audit, recall to reach, searches at most.
 AUDIT, TARGET, SEARCHES = 1000, 0.97, 3
 _LIST = "array<struct<s:double,v:long>>"
@@ -121,30 +124,100 @@ def _refine(graph: DataFrame, nodes: DataFrame, n: int, k: int, kind: str) -> Da
     return joined.groupBy("group").applyInArrow(meet, f"nid long, near {_LIST}")
 
 
-def _links(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(nid, component, w): nodes that link; w counts linked vectors, copies included."""
-    edges = graph.select(F.col("nid").alias("a"), F.explode("near").alias("x")).where(F.col("x.s") >= threshold).select("a", F.col("x.v").alias("b"))
-    found = connected_components(edges).withColumnRenamed("node", "nid")
-    sizes = table(found.groupBy("component").agg(F.count("*").alias("m")), "sizes")
-    dealt = table(tiles(found.join(nodes.select("nid", "raw", "copies"), "nid"), sizes, "nid", TILE), "tiles")
-    groups = max(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // 4000 + 1)
+def _near_cells(cells: DataFrame, theta: float) -> DataFrame:
+    """(a, b): cells of different components, a < b, that the angle between their centres
+    and their radii leave room for a link of ``theta`` or less."""
+    sizes = cells.groupBy("component").agg(F.count("*").alias("m"))
+    dealt = tiles(cells, sizes, "cell", CELL)
+    groups = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(group: pa.Table) -> pa.Table:
-        names = ["component", "ti", "tj", "block", "nid", "copies", "raw"]
+        names = ["component", "ti", "tj", "block", "cell", "head", "centre", "radius"]
         by: dict[tuple, list[tuple]] = {}
         for x in zip(*(group.column(c).to_pylist() for c in names), strict=True):
             by.setdefault(x[:3], []).append(x)
-        ids, w = [], []
+        out_a, out_b = [], []
         for (_, i, j), own in by.items():
-            x = _unit([m[6] for m in own], kind)
-            block = np.array([m[3] for m in own])
-            counts, _ = tile_links(x @ x.T >= threshold, np.flatnonzero(block == i), np.flatnonzero(block == j), i == j, np.array([m[5] for m in own], np.int64))
-            ids += [m[4] for m in own]
+            x = np.frombuffer(b"".join(m[6] for m in own), np.float64).reshape(len(own), -1)
+            block, head, radius = (np.array([m[c] for m in own]) for c in (3, 5, 7))
+            room = np.arccos(np.clip(x @ x.T, -1, 1)) <= theta + radius[:, None] + radius[None, :] + SLACK
+            room &= (head[:, None] != head[None, :]) & ((block == i)[:, None] & (block == j)[None, :])
+            for u, v in zip(*np.nonzero(room), strict=True):
+                if i != j or u < v:
+                    low, high = sorted((own[u][4], own[v][4]))
+                    out_a.append(low)
+                    out_b.append(high)
+        return pa.table({"a": pa.array(out_a, pa.string()), "b": pa.array(out_b, pa.string())})
+
+    return dealt.withColumn("group", F.pmod(F.xxhash64("component", "ti", "tj"), F.lit(groups))).groupBy("group").applyInArrow(compare, "a string, b string")
+
+
+def _links(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, k: int) -> DataFrame:
+    """(nid, component, w): nodes that link; w counts linked vectors, copies included.
+
+    The components of list edges are cut to cells of about TILE nodes.  All cells of a
+    component are compared; a saturated list may also lack links to other components, so
+    cells with saturated nodes are compared with each other wherever their centres and
+    radii leave room for a link."""
+    edges = graph.select(F.col("nid").alias("a"), F.explode("near").alias("x")).where(F.col("x.s") >= threshold).select("a", F.col("x.v").alias("b"))
+    found = connected_components(edges).withColumnRenamed("node", "nid")
+    sizes = table(found.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "sizes")
+    full = graph.where((F.size("near") >= k) & (F.element_at("near.s", -1) >= threshold)).select("nid", F.lit(True).alias("full"))
+    name = lambda block: F.concat_ws("/", F.col("component").cast("string"), block.cast("string"))
+    celled = found.join(sizes, "component").withColumn("cell", name(F.pmod(F.xxhash64("nid", F.lit(11)), F.col("blocks"))))
+    celled = table(celled.join(full, "nid", "left").join(nodes.select("nid", "raw", "copies", "dim"), "nid").select("component", "cell", "nid", "raw", "copies", "dim", "full"), "celled")
+    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def centre(group: pa.Table) -> pa.Table:
+        names = ["cell", "component", "dim", "raw"]
+        by: dict[tuple, list[bytes]] = {}
+        for *key, raw in zip(*(group.column(c).to_pylist() for c in names), strict=True):
+            by.setdefault(tuple(key), []).append(raw)
+        out = []
+        for (cell, head, dim), raw in by.items():
+            x = _unit(raw, kind)
+            mean = x.sum(axis=0)
+            mean = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-9 else x[0]
+            out.append((dim, cell, head, mean.tobytes(), float(np.arccos(np.clip(x @ mean, -1, 1)).max())))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["component", "cell", "head", "centre", "radius"])
+
+    cells = celled.where("full").withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(parts))).groupBy("group")
+    cells = table(cells.applyInArrow(centre, "component long, cell string, head long, centre binary, radius double"), "cells")
+    own = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1)))
+    pairs = table(own.select(name(F.col("i")).alias("a"), name(F.col("j")).alias("b")).unionByName(_near_cells(cells, float(np.arccos(min(1.0, threshold))))), "pairs")
+    carried = celled.select("cell", "nid", "copies", "raw")
+    left = pairs.join(carried.withColumnRenamed("cell", "a"), "a").withColumn("right", F.lit(False))
+    right = pairs.where("a <> b").join(carried.withColumnRenamed("cell", "b"), "b").withColumn("right", F.lit(True))
+    dealt = table(left.unionByName(right), "tiles")
+    groups = max(parts, dealt.count() // 4000 + 1)
+
+    def compare(group: pa.Table) -> pa.Table:
+        names = ["a", "b", "right", "nid", "copies", "raw"]
+        by: dict[tuple, list[tuple]] = {}
+        for x in zip(*(group.column(c).to_pylist() for c in names), strict=True):
+            by.setdefault(x[:2], []).append(x)
+        ids, heads, w = [], [], []
+        for (i, j), own in by.items():
+            x = _unit([m[5] for m in own], kind)
+            side = np.array([m[2] for m in own])
+            counts, joined = tile_links(x @ x.T >= threshold, np.flatnonzero(~side), np.flatnonzero(side), i == j, np.array([m[4] for m in own], np.int64))
+            ids += [m[3] for m in own]
+            heads += [None] * len(own)
             w += counts.tolist()
-        return pa.table({"nid": pa.array(ids, pa.int64()), "w": pa.array(w, pa.int64())})
+            for members in joined:
+                head, *rest = sorted(own[u][3] for u in members)
+                ids += rest
+                heads += [head] * len(rest)
+                w += [0] * len(rest)
+        return pa.table({"nid": pa.array(ids, pa.int64()), "head": pa.array(heads, pa.int64()), "w": pa.array(w, pa.int64())})
 
-    counts = dealt.withColumn("group", F.pmod(F.xxhash64("component", "ti", "tj"), F.lit(groups))).groupBy("group").applyInArrow(compare, "nid long, w long")
-    return table(found.join(counts.groupBy("nid").agg(F.sum("w").alias("w")), "nid").select("nid", "component", "w"), "linked")
+    compared = dealt.withColumn("group", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("group").applyInArrow(compare, "nid long, head long, w long")
+    compared = table(compared, "compared")
+    linked = connected_components(compared.where("head is not null"), "nid", "head").withColumnRenamed("node", "nid")
+    counts = compared.where("head is null").groupBy("nid").agg(F.sum("w").alias("w"))
+    return table(linked.join(counts, "nid").select("nid", "component", "w"), "linked")
 
 
 def audit(nodes: DataFrame, linked: DataFrame, n: int, threshold: float, kind: str, most: int = AUDIT) -> float:
@@ -212,7 +285,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             graph = refined
             if changed <= SETTLED * n:
                 break
-        linked = _links(graph, nodes, threshold, kind)
+        linked = _links(graph, nodes, threshold, kind, k)
         recall = audit(nodes, linked, n, threshold, kind)
         if recall >= TARGET:
             break
