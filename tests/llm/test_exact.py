@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ticklake.llm import graph, html_text, jaccard, language, line_rules, packing, pfor, pieces, quality, repeats, tokens, vectors
 
@@ -167,6 +168,26 @@ def test_vectors_links_between_tight_groups(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_vectors_recall_by_vector():
+    true = {i: 1000 for i in range(1000)} | {1000 + i: 1 for i in range(500)}
+    assert vectors.vector_recall({i: 1000 for i in range(1000)}, true) == 0.0
+    assert vectors.vector_recall(true, true) == vectors.vector_recall({}, {}) == 1.0
+
+
+def test_vectors_exact_when_search_fails(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((300, 16)), 2, axis=0) + 0.05 * rng.standard_normal((600, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    monkeypatch.setattr(vectors, "SEARCHES", 1)
+    monkeypatch.setattr(vectors, "ROUNDS", 0)
+    monkeypatch.setattr(vectors, "_start", lambda nodes, *_: nodes.select("nid", F.array().cast(vectors._LIST).alias("near")))
+    got = vectors.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+    assert {r.audited_recall for r in got} == {1.0}
+
+
 def test_base_counts():
     text = "a b c a b c\nx\nx\n\n#b c a b $"
     words = text.split()

@@ -4,8 +4,8 @@ A neighbour graph starts from random-hyperplane cells and is refined by joins of
 neighbours of neighbours.  A component of list edges is compared whole in square tiles.  A
 list is saturated when its last entry still links, so it may lack links to other components;
 cells of saturated nodes are compared wherever their centres and radii leave room for a link.
-A bounded sample is compared with every vector to audit recall; below the target the
-search goes on from new cells.
+A bounded sample is compared with every vector to audit recall by vector; below the target
+the search goes on from new cells with longer lists, and at last all cells are compared.
 """
 
 from __future__ import annotations
@@ -152,15 +152,18 @@ def _near_cells(cells: DataFrame, theta: float) -> DataFrame:
     return dealt.withColumn("group", F.pmod(F.xxhash64("component", "ti", "tj"), F.lit(groups))).groupBy("group").applyInArrow(compare, "a string, b string")
 
 
-def _links(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, k: int) -> DataFrame:
+def _links(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, k: int, every: bool = False) -> DataFrame:
     """(nid, component, w): nodes that link; w counts linked vectors, copies included.
 
     The components of list edges are cut to cells of about TILE nodes.  All cells of a
     component are compared; a saturated list may also lack links to other components, so
     cells with saturated nodes are compared with each other wherever their centres and
-    radii leave room for a link."""
+    radii leave room for a link.  With ``every`` that holds for all nodes, linked or not,
+    which is exact whatever the lists are."""
     edges = graph.select(F.col("nid").alias("a"), F.explode("near").alias("x")).where(F.col("x.s") >= threshold).select("a", F.col("x.v").alias("b"))
     found = connected_components(edges).withColumnRenamed("node", "nid")
+    if every:
+        found = nodes.select("nid").join(found, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     sizes = table(found.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "sizes")
     full = graph.where((F.size("near") >= k) & (F.element_at("near.s", -1) >= threshold)).select("nid", F.lit(True).alias("full"))
     name = lambda block: F.concat_ws("/", F.col("component").cast("string"), block.cast("string"))
@@ -183,7 +186,7 @@ def _links(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, k: i
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["component", "cell", "head", "centre", "radius"])
 
-    cells = celled.where("full").withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(parts))).groupBy("group")
+    cells = (celled if every else celled.where("full")).withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(parts))).groupBy("group")
     cells = table(cells.applyInArrow(centre, "component long, cell string, head long, centre binary, radius double"), "cells")
     own = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1)))
     pairs = table(own.select(name(F.col("i")).alias("a"), name(F.col("j")).alias("b")).unionByName(_near_cells(cells, float(np.arccos(min(1.0, threshold))))), "pairs")
@@ -221,8 +224,10 @@ def _links(graph: DataFrame, nodes: DataFrame, threshold: float, kind: str, k: i
 
 
 def audit(nodes: DataFrame, linked: DataFrame, n: int, threshold: float, kind: str, most: int = AUDIT) -> float:
-    """Links of about ``most`` sampled vectors that were found, as a share of those that
-    comparison with every vector finds.  The sample is bounded, so it is broadcast."""
+    """Recall of about ``most`` sampled vectors: the share of a vector's links, as comparison
+    with every vector finds them, that were found; the mean over vectors that have any, or
+    over those with at most NEIGHBOURS links if that is lower.  The sample is bounded, so it
+    is broadcast."""
     rate = int(min(1.0, most / max(1, n)) * (1 << 20))
     asked = nodes.where(F.pmod(F.xxhash64("nid", F.lit(9)), F.lit(1 << 20)) < rate).join(linked, "nid", "left").select("nid", "dim", "raw", F.coalesce("w", F.lit(0)).alias("w")).collect()
     if not asked:
@@ -233,7 +238,7 @@ def audit(nodes: DataFrame, linked: DataFrame, n: int, threshold: float, kind: s
         by[d] = (np.array([r.nid for r in own]), _unit([bytes(r.raw) for r in own], kind))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in by.items()}
         for batch in batches:
             ids, raw, dims, copies = (np.array(batch.column(i).to_pylist(), object if i == 1 else np.int64) for i in range(4))
             for d in np.unique(dims):
@@ -241,11 +246,19 @@ def audit(nodes: DataFrame, linked: DataFrame, n: int, threshold: float, kind: s
                     at = np.flatnonzero(dims == d)
                     same = ids[at][:, None] == by[int(d)][0][None, :]
                     hit = (_unit(list(raw[at]), kind) @ by[int(d)][1].T >= threshold) & ~same
-                    total += int(copies[at] @ hit.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["n"])
+                    total[int(d)] += copies[at] @ hit
+        found = [(i, m) for d, (ids, _) in by.items() for i, m in zip(ids.tolist(), total[d].tolist(), strict=True) if m]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["nid", "n"])
 
-    true = nodes.select("nid", "raw", "dim", "copies").mapInArrow(ask, "n long").agg(F.sum("n")).first()[0]
-    return 1.0 if not true else sum(r.w for r in asked) / true
+    true = nodes.select("nid", "raw", "dim", "copies").mapInArrow(ask, "nid long, n long").groupBy("nid").agg(F.sum("n").alias("n"))
+    return vector_recall({r.nid: r.w for r in asked}, {r.nid: r.n for r in true.collect()})
+
+
+def vector_recall(found: dict[int, int], true: dict[int, int]) -> float:
+    """Mean share of links found by vector, or that of vectors with few links if lower."""
+    shares = [(found.get(i, 0) / m, m <= NEIGHBOURS) for i, m in true.items() if m]
+    few = [x for x, small in shares if small]
+    return min((float(np.mean(x)) for x in ([x for x, _ in shares], few) if x), default=1.0)
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -289,6 +302,13 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         recall = audit(nodes, linked, n, threshold, kind)
         if recall >= TARGET:
             break
+        k *= 2
+    else:
+        # the search did not reach the target: every node is compared by cells
+        linked = _links(graph, nodes, threshold, kind, k, every=True)
+        recall = audit(nodes, linked, n, threshold, kind)
+        if recall < TARGET:
+            raise RuntimeError(f"recall {recall:.3f} is below {TARGET}")
     members = table(nodes.select("nid", "raw", "least", "copies").join(linked, "nid", "left").withColumn("component", F.coalesce("component", "nid")), "members")
     heads = table(members.groupBy("component").agg(F.min("least").alias("component_id")), "heads")
     labels = table(members.join(heads, "component").select("raw", "component_id", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
