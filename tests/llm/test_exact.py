@@ -70,6 +70,23 @@ def test_pieces_equal_library_without_dropout(texts):
     assert varied.encode(sample[0], 1) == pieces.PieceCoder(pieces.default_model(), 5, 0.3, 2).encode(sample[0], 1)
 
 
+def test_pieces_vary_by_occurrence():
+    code = pieces.PieceCoder(pieces.default_model(), 5, 0.1)
+    word = pieces.MARK + "international"
+    text, (_, met) = " ".join(["international"] * 3000), code.segment(word)
+    seen = collections.Counter()
+    for key in range(3000):
+        seen[code.encode("international", key)] += 1
+    assert len(seen) > 20 and code.decode(code.encode(text, 1)) == text
+    # no candidate merge is skipped with probability 0.9 ** met
+    plain = seen[pieces.PieceCoder(pieces.default_model()).encode("international")] / 3000
+    assert plain >= 0.9**met - 0.05
+    skips = code._skips(np.arange(20_000, dtype=np.uint64))
+    assert abs(np.unpackbits(skips).mean() - 0.1) < 0.002
+    fresh = pieces.PieceCoder(pieces.default_model(), 5, 0.1, limit=1)
+    assert fresh.encode(text, 1) == code.encode(text, 1)
+
+
 def test_run_index():
     rnd = random.Random(5)
     for _ in range(60):

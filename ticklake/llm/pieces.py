@@ -1,21 +1,21 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Merges of a merge-type model are taken from an agenda, best score first and leftmost among
-equals.  With dropout, a keyed hash of the word under the seed and the variant decides
-for each candidate merge once whether it is skipped, so a segmentation is a function of the seed and
-can be had again after a lost task.  A word's occurrences draw among ``variants`` keys by
-a hash of document and place.  Every segmentation decodes to the text that was encoded.
+equals.  With dropout, a hash keyed by seed, document, place of the word and number of the
+candidate merge decides whether that merge is skipped, so each occurrence draws its own
+merges and a segmentation can be had again after a lost task.  Every segmentation decodes
+to the text that was encoded.
 
 No piece of a merge-type model holds a space mark after another character, so words are
-segmented apart and kept in a bounded cache.
+segmented apart.  A segmentation depends on the word and the merges skipped alone, and is
+kept by these in a bounded cache.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def coder(path: str, seed: int, dropout: float, variants: int) -> "PieceCoder":
+def coder(path: str, seed: int, dropout: float, variants: int | None = None) -> "PieceCoder":
     """One coder for each Python worker and setting."""
     key = (path, seed, dropout, variants)
     if key not in _KEPT:
@@ -45,7 +45,7 @@ def coder(path: str, seed: int, dropout: float, variants: int) -> "PieceCoder":
 
 
 class PieceCoder:
-    def __init__(self, path: str, seed: int = 0, dropout: float = 0.0, variants: int = 1, limit: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, seed: int = 0, dropout: float = 0.0, variants: int | None = None, limit: int = 500_000, longest: int = 64):
         from sentencepiece import SentencePieceProcessor
 
         self.model = m = SentencePieceProcessor(model_file=path)
@@ -62,28 +62,33 @@ class PieceCoder:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError("a piece holds a space mark after another character")
         self.unknown, self.seed, self.dropout, self.variants = m.unk_id(), seed, dropout, variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.limit, self.longest = limit, longest
-
-    def _draws(self, word: str, variant: int) -> Iterator[int]:
-        """16-bit numbers of a keyed hash of the word, one for each candidate merge."""
-        for block in itertools.count():
-            raw = hashlib.blake2b(word.encode(), key=f"{self.seed}/{variant}/{block}".encode()).digest()
-            yield from memoryview(raw).cast("H")
-
-    def segment(self, word: str, variant: int = 0) -> list[str]:
-        """Pieces of one word by the agenda."""
+        #: a word's tree: [ids, merges to look at for the next skip, trees by that skip]
+        self.known: dict[str, list] = {}
+        self.kept, self.limit, self.longest = 0, limit, longest
+
+    def _skips(self, keys: np.ndarray, blocks: int = 1) -> np.ndarray:
+        """For each key 64 x ``blocks`` bits in bytes: whether the candidate merge of that
+        number is skipped, by 16 bits of a hash of key and number."""
+        lanes = np.arange(1, 16 * blocks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        drawn = mix(keys[:, None] + lanes[None, :]).astype("<u8").view("<u2")
+        return np.packbits(drawn < int(self.dropout * 65536), axis=1, bitorder="little")
+
+    def segment(self, word: str, skips: int = 0) -> tuple[list[str], int]:
+        """Pieces of one word by the agenda without the candidate merges whose bits are set
+        in ``skips``, and the number of candidate merges met."""
         parts: list[str | None] = list(word)
         n = len(parts)
         if n == 1:
-            return [word]
+            return [word], 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         score_of, agenda = self.rank.get, []
-        draws, limit = (self._draws(word, variant), int(self.dropout * 65536)) if self.dropout else (None, 0)
+        met = 0
         for i in range(n - 1):
             score = score_of(parts[i] + parts[i + 1])
-            if score is not None and (draws is None or next(draws) >= limit):
-                agenda.append((score, i, parts[i], parts[i + 1]))
+            if score is not None:
+                if not skips >> met & 1:
+                    agenda.append((score, i, parts[i], parts[i + 1]))
+                met += 1
         heapq.heapify(agenda)
         while agenda:
             _, i, left, right = heapq.heappop(agenda)
@@ -96,18 +101,23 @@ class PieceCoder:
             if k < n:
                 before[k] = i
                 score = score_of(merged + parts[k])
-                if score is not None and (draws is None or next(draws) >= limit):
-                    heapq.heappush(agenda, (score, i, merged, parts[k]))
+                if score is not None:
+                    if not skips >> met & 1:
+                        heapq.heappush(agenda, (score, i, merged, parts[k]))
+                    met += 1
             h = before[i]
             if h >= 0:
                 score = score_of(parts[h] + merged)
-                if score is not None and (draws is None or next(draws) >= limit):
-                    heapq.heappush(agenda, (score, h, parts[h], merged))
-        return [p for p in parts if p is not None]
+                if score is not None:
+                    if not skips >> met & 1:
+                        heapq.heappush(agenda, (score, h, parts[h], merged))
+                    met += 1
+        return [p for p in parts if p is not None], met
 
-    def _encode_word(self, word: str, variant: int) -> bytes:
+    def _encode_word(self, word: str, skips: int = 0) -> tuple[bytes, int]:
         out: list[int] = []
-        for piece in self.segment(word, variant):
+        pieces, met = self.segment(word, skips)
+        for piece in pieces:
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
@@ -115,35 +125,60 @@ class PieceCoder:
                 out += [self.bytes_[b] for b in piece.encode()]
             else:
                 out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+        return np.array(out, "<u4").tobytes(), met
 
     def encode(self, text: str, key: int = 0) -> bytes:
-        """Ids as little-endian uint32 bytes; ``key`` sets apart documents when drawing variants."""
+        """Ids as little-endian uint32 bytes; ``key`` sets apart documents.  With
+        ``variants`` a word has so many segmentations at most, without it each occurrence
+        draws its own."""
         words = _WORD.findall(self.model.normalize(text)) if text else []
         if not words:
             return b""
-        if self.variants > 1:
-            place = np.arange(len(words), dtype=np.uint64) + np.uint64(key & 0xFFFFFFFF) * np.uint64(1 << 32)
-            draw = (mix(place ^ mix(np.array([self.seed], np.uint64))) % np.uint64(self.variants)).tolist()
+        if self.dropout:
+            keys = mix(np.arange(len(words), dtype=np.uint64) + mix(np.array([key & (1 << 64) - 1], np.uint64) ^ mix(np.array([self.seed], np.uint64))))
+            if self.variants:
+                keys = mix(keys % np.uint64(self.variants) + np.array([zlib.crc32(w.encode()) + (self.seed << 32) & (1 << 64) - 1 for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            # short texts and long ones alike in steps, so that the draws stay small
+            drawn = [x for i in range(0, len(words), 4096) for x in self._skips(keys[i : i + 4096]).view("<u8").ravel().tolist()]
         else:
-            draw = [0] * len(words)
+            keys, drawn = None, [0] * len(words)
         known, out = self.known, []
-        for word, v in zip(words, draw, strict=True):
-            got = known[v].get(word)
-            if got is None:
-                got = self._encode_word(word, v)
+        for at, (word, skips) in enumerate(zip(words, drawn, strict=True)):
+            if len(word) > 22 and keys is not None:  # more than 64 candidate merges may be met
+                skips = int.from_bytes(self._skips(keys[at : at + 1], (3 * len(word) + 63) // 64).tobytes(), "little")
+                if len(word) > self.longest:
+                    out.append(self._encode_word(word, skips)[0])
+                    continue
+            tree = known.get(word)
+            if tree is None:
+                tree = self._tree(word, 0)
                 if len(word) <= self.longest:
-                    if len(known[v]) >= self.limit // self.variants:
-                        known[v].clear()
-                    known[v][word] = got
-            out.append(got)
+                    known[word] = tree
+            # from skip to skip, among the candidate merges that are met after it
+            while rest := skips & tree[1]:
+                low = rest & -rest
+                if tree[2] is None:
+                    tree[2] = {}
+                after = tree[2].get(low)
+                if after is None:
+                    after = tree[2][low] = self._tree(word, skips & (2 * low - 1))
+                tree = after
+            out.append(tree[0])
+            if self.kept >= self.limit:
+                known.clear()
+                self.kept = 0
         return b"".join(out)
 
+    def _tree(self, word: str, skips: int) -> list:
+        self.kept += 1
+        ids, met = self._encode_word(word, skips)
+        return [ids, (1 << met) - 1 >> skips.bit_length() << skips.bit_length(), None]
+
     def decode(self, ids: bytes) -> str:
         return self.model.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-def encode_pieces(docs: DataFrame, model: str | None = None, seed: int = 0, dropout: float = 0.1, variants: int = 2) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str | None = None, seed: int = 0, dropout: float = 0.1, variants: int | None = None) -> DataFrame:
     """doc_id, text and ids (little-endian uint32 bytes) of every whole text.
 
     ``dropout`` 0 gives the library's own ids.  Null and empty texts have no ids; rows that
@@ -152,7 +187,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, seed: int = 0, drop
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(model, seed, dropout, variants if dropout else 1)
+        code = coder(model, seed, dropout, variants)
         for batch in batches:
             ids = [code.encode(t or "", d or 0) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
@@ -165,7 +200,7 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(model, 0, 0.0, 1)
+        code = coder(model, 0, 0.0)
         for batch in batches:
             text = [code.decode(x or b"") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=["doc_id", "text", "ids", "decoded"])
