@@ -39,18 +39,26 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; of
-    rows that repeat that doc_id, one."""
-    classes = jaccard.near_duplicates(docs)
-    return _keep(docs, classes.where("doc_id <=> class_id")).dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates the row with the smallest doc_id, and then text hash,
+    stays (a null doc_id comes last); rows without a word are in no group and all stay, and
+    so do rows that merely share a doc_id."""
+    given = docs.select(*COLUMNS).withColumns({"text_hash": F.sha2("text", 256), "class_row": jaccard.class_key(F.col("text"))})
+    classes = jaccard.class_labels(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = given.where("class_row is not null").groupBy("class_row").agg(F.min(place).alias("first")).join(classes, F.col("class_row") == F.col("key"))
+    first = first.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    kept = given.where("class_row is not null").join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")), "left_semi")
+    # rows left with one doc_id and one text are copies of one class
+    kept = kept.dropDuplicates(["doc_id", "text_hash"])
+    return kept.unionByName(given.where("class_row is null")).select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated long byte strings are cut out of the texts; a character that a cut splits
     goes with it, n_chars follows the text, and documents of no text left stay empty."""
-    # doc_id is unique after the stage before
-    cut = repeats.remove_repeats(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("cut_id"), "kept_text")
-    joined = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+    # a doc_id may repeat, so the cuts go by text: equal texts are cut alike
+    cut = repeats.remove_repeats(docs).where(F.size("spans") > 0).select(F.col("text_hash").alias("cut_hash"), "kept_text").dropDuplicates(["cut_hash"])
+    joined = docs.select(*COLUMNS).join(cut, F.sha2("text", 256) == F.col("cut_hash"), "left")
     text = F.coalesce("kept_text", "text")
     n_chars = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))

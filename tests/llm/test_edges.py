@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and very long texts, repeated rows, empty tables and
 extra columns whose names clash with its own."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -134,3 +135,18 @@ def test_html(spark):
     assert (text[2], text[3], text[None]) == ("", "", "yes")
     assert text[4].count("x") == 20_000
     assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pipeline_keeps_rows_that_share_an_id(spark):
+    import corpus_pipeline as pipeline
+
+    long = " ".join(f"passage{i}" for i in range(90))
+    texts = [(None, "one text about cats and dogs in the house"), (None, "another text on boats and trains by the sea"), (None, "one text about cats and dogs in the house"), (7, "third text of mountains and rivers in spring"), (7, "fourth text of cities and roads in winter"), (8, "Fourth text of cities, and roads in winter"), (None, None), (None, None), (9, f"nine {long} end"), (9, f"start {long} ten")]
+    given = docs(spark, [(i, t, "en") for i, t in texts])
+    got = pipeline.table(pipeline.duplicates_stage(spark, given, ""), "kept")
+    want = [(None, texts[0][1]), (None, texts[1][1]), (7, texts[3][1]), (7, texts[4][1]), (None, None), (None, None), (9, min(texts[8][1], texts[9][1], key=lambda t: hashlib.sha256(t.encode()).hexdigest()))]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    cut = pipeline.repeats_stage(spark, given, "").collect()
+    assert len(cut) == len(texts)
+    assert sorted(r.text for r in cut if r.doc_id == 7) == sorted(t for i, t in texts if i == 7)
+    assert sorted(r.text for r in cut if r.doc_id == 9) == ["nineend", "startten"]

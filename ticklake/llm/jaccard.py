@@ -39,6 +39,12 @@ def folded(text):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
+def class_key(text):
+    """Key of the class of equal word sequences that a text is in; null without a word."""
+    norm = folded(text)
+    return F.when(norm != "", F.unhex(F.md5(norm)))
+
+
 def _edges(norm: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes, and start and end of each n-gram of words (all words if fewer)."""
     data = np.frombuffer(norm, np.uint8)
@@ -135,6 +141,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     all words) have a Jaccard similarity of ``threshold`` or more.  Null texts and texts
     without a word link with nothing and are their own class.  Rows that repeat a doc_id
     are separate documents; an empty table gives no rows."""
+    signed, members = _members(docs, threshold, n, recall)
+    heads = table(members.groupBy("component").agg(F.min("least").alias("class_id")), "heads")
+    labels = table(members.join(heads, "component").select("key", "class_id", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
+    return signed.select("doc_id", "key").join(labels, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def class_labels(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """(key, component): for each ``class_key`` of the texts its component by the links of
+    ``near_duplicates``, whatever the doc_ids are."""
+    return _members(docs, threshold, n, recall)[1].select("key", "component")
+
+
+def _members(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, bands), and classes (key, least, copies, component, w)."""
     spark = docs.sparkSession
     bands, r = bands_for(threshold, recall)
     seeds = np.random.default_rng(3).integers(1, 1 << 63, (2, bands * r), dtype=np.uint64)
@@ -198,10 +218,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     linked = connected_components(found.where("b is not null")).withColumnRenamed("node", "key")
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("w").alias("w"))
     members = classes.select("key", "least", "copies").join(linked, "key", "left").join(counts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    members = table(members, "members")
-    heads = table(members.groupBy("component").agg(F.min("least").alias("class_id")), "heads")
-    labels = table(members.join(heads, "component").select("key", "class_id", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
-    return signed.select("doc_id", "key").join(labels, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed, table(members, "members")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,7 +252,8 @@ def _merged(runs: Column) -> Column:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row for each document: doc_id, n_bytes, spans (array of struct(start, end):
     maximal removed runs of bytes), kept (remaining bytes, binary), kept_text (the same
-    without characters that a cut splits) and row_id.
+    without characters that a cut splits), text_hash (sha-256 of the text, where bytes go)
+    and row_id.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else,
     in this or another document, judged on the input.  Null and empty texts have no
@@ -304,12 +305,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 mask = np.cumsum(gone[:-1]) > 0
                 a, b = _runs(mask)
                 kept = data[~mask].tobytes()
-                out.append((row_id, doc_id, len(data), [{"start": x, "end": y + 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)], kept, kept.decode("utf-8", "ignore")))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row_id", "doc_id", "n_bytes", "spans", "kept", "kept_text"])
+                out.append((row_id, doc_id, len(data), [{"start": x, "end": y + 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)], kept, kept.decode("utf-8", "ignore"), hashlib.sha256(data).hexdigest() if a.size else None))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row_id", "doc_id", "n_bytes", "spans", "kept", "kept_text", "text_hash"])
 
-    result = "row_id long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"
+    result = "row_id long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string, text_hash string"
     changed = scanned.select("row_id", "doc_id", "text").join(table(spans, "spans"), "row_id", "left")
     return changed.mapInArrow(strip, result)
 
