@@ -27,9 +27,17 @@ _CHUNKS = "part int, chunk int, first_id long, n_ids long, doc_ids array<long>,
 _ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("blob", pa.binary())])
 
 
+#: Bytes of input that a range partition should hold at most.
+PART_BYTES = 64 << 20
+
+
 def parts_for(df: DataFrame, least: int = 2) -> int:
-    """Range partitions: as many as the session shuffles to."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Range partitions: as many as the session shuffles to, or more where the input's size,
+    as the files state it, asks for more."""
+    n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a plan that states no size gives a huge number
+    return max(n, -(-stated // PART_BYTES)) if stated < 1 << 60 else n
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, chunk_ids: int = CHUNK_IDS) -> None:
@@ -40,22 +48,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ranged = documents(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(parts_for(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, end, encode_texts = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), encoder(tokenizer).encode
-        held: list[tuple[int, bytes]] = []
+        part, encode_texts = TaskContext.get().partitionId(), encoder(tokenizer).encode
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = written = chunk = 0
 
         def cut() -> pa.RecordBatch:
             nonlocal held, size, written, chunk
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, chunk, written, len(ids), [d for d, _ in held], [len(x) // 4 for _, x in held], pfor.pack(ids)], _ARROW.types, strict=True)], schema=_ARROW)
+            docs, lengths, ids = [d for x in held for d in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, chunk, written, len(ids), docs, lengths, pfor.pack(ids)], _ARROW.types, strict=True)], schema=_ARROW)
             written, chunk, held, size = written + len(ids), chunk + 1, [], 0
             return out
 
         for batch in batches:
-            ids_of, texts = zip(*rows(batch, "doc_id", "text"), strict=True) if batch.num_rows else ((), ())
-            for doc, ids in zip(ids_of, encode_texts(list(texts)), strict=True):
-                held.append((doc, ids + end))
-                size += len(ids) // 4 + 1
+            docs, (ids, edges) = batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist())
+            ids = np.insert(ids, edges[1:], np.uint32(end_id))
+            lengths = np.diff(edges) + 1
+            ends = np.cumsum(lengths)
+            at = used = 0
+            while at < len(docs):
+                # up to the document that fills the chunk
+                stop = min(len(docs), int(np.searchsorted(ends, used + chunk_ids - size)) + 1)
+                held.append((docs[at:stop], lengths[at:stop], ids[used : ends[stop - 1]]))
+                size += int(ends[stop - 1]) - used
+                at, used = stop, int(ends[stop - 1])
                 if size >= chunk_ids:
                     yield cut()
         if held:

@@ -1,25 +1,33 @@
-"""Byte-pair encoding of whole texts with the tokenizers library, one library call
-for the distinct words of a batch.
-
-Before a space that a non-space follows, the byte-level pre-tokenizer always starts
-a new piece, so a text is cut there and every distinct part is encoded once and kept
-in a bounded cache; the rest of the work is one dictionary look-up per part.
+"""Byte-pair encoding of whole texts with the tokenizers library's merges, each distinct
+word once.
+
+Before a space that a non-space follows, the byte-level pre-tokenizer always starts a new
+piece, so texts are cut there into words.  A new word is cut by the pre-tokenizer's own
+expression, each new piece is merged by the library, and the ids are kept in a bounded pool,
+from which those of many texts are gathered at once.  What this module's character classes
+cannot vouch for is handed to the library as it stands.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
 
+#: Before such a space a new piece always starts.
 _CUT = re.compile(r" (?=\S)")
-#: A space before white space, where no piece starts.
-_CLOSE = ("  ", " \n", " \t", " \r", " \v", " \f")
-#: Characters that Python's and Unicode's notions of white space do not share, and white space beyond ASCII.
+#: White space to Python only.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_UNLIKE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: The pre-tokenizer's pieces of a part in ASCII.
+#: The pre-tokenizer's expression, in ASCII and over the characters that ``_OTHER`` excludes: Latin
+#: letters up to U+024F, general punctuation and currency signs, whose classes are settled.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞₠-₿]")
+#: A space before white space, where no piece starts.
+_CLOSE = ("  ", " \n", " \t", " \r", " \v", " \f")
+#: Before a key: the piece stands as it is, or the library is to cut it; else a space stands before the word.
+_BARE, _RAW = "\x1c", "\x1d"
 _KEPT: dict[str, "WordEncoder"] = {}
 
 
@@ -30,117 +38,179 @@ def default_path() -> str:
 
 
 def encoder(path: str) -> "WordEncoder":
-    """One encoder for each Python worker; its cache serves all tasks there."""
+    """One encoder for each Python worker; its pool serves all tasks there."""
     if path not in _KEPT:
         _KEPT[path] = WordEncoder(path)
     return _KEPT[path]
 
 
+class _Slots(dict):
+    """Numbers of words; one that is met first gets the next number and is put in ``fresh``."""
+
+    def __init__(self, known: list[str] = ()) -> None:
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.next, self.fresh = len(known), []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.next
+        self.next += 1
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
-    """``encode(texts)`` gives, for each text, its ids as little-endian uint32 bytes.
-    Null counts as empty.  Texts that spell a special token are ordinary text."""
+    """``encode(texts)`` gives the ids of all texts in one array (uint32), and the edges of
+    each text's part of it.  Null counts as empty.  Texts that spell a special token are
+    ordinary text.  Very long texts are cut into slices, and at most about ``at_once``
+    words are held as strings."""
 
-    def __init__(self, path: str, limit: int = 1_200_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 1_500_000, at_once: int = 1_000_000, slice_chars: int = 1 << 20, longest: int = 64):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.bare = Tokenizer.from_file(path)  # the same merges over words that are mapped and cut already
-        self.bare.pre_tokenizer = WhitespaceSplit()
-        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.leads[i] = token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
         # the byte alphabet: printable characters stand for themselves, the rest follow from 256
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + i for i, b in enumerate(rest)}
-        self.limit, self.longest = limit, longest
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, ids: list[int], words: list[str]) -> dict:
-        """Ids of each word, cut where an id that begins with a space starts the next word."""
-        ids = np.array(ids, "<u4")
-        cuts = np.flatnonzero(self.leads[ids])
-        if len(cuts) != len(words):
-            return dict(zip(words, self._library([w if w[0] == " " else " " + w for w in words]), strict=True))
-        raw, edges = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-        return {w: raw[a:b] for w, a, b in zip(words, edges, edges[1:], strict=False)}
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of " " + word into the cache for each word; words hold no space."""
-        known, pieces = self.known, self.pieces
-        marked = {w: _ASCII.findall(" " + w) for w in words if w.isascii() and not w.isalpha()}
-        fresh = {w for w in words if w.isalpha()}
-        for cut in marked.values():
-            if cut[0][0] == " " and cut[0][1:].isalpha():
-                fresh.add(cut[0][1:])
-        letters = self.letters
-        alpha = [w for w in fresh if w not in known]
-        for i in range(0, len(alpha), 4000):
-            part = alpha[i : i + 4000]
-            mapped = " ".join(["Ġ" + w.encode().decode("latin-1").translate(letters) for w in part])
-            known.update(self._split(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, part))
-        for w, cut in marked.items():
-            raw = []
-            for x in cut:
-                got = known.get(x[1:]) if x[0] == " " and x[1:].isalpha() else pieces.get(x)
-                if got is None:
-                    got = pieces[x] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(letters))])
-                raw.append(got)
-            known[w] = b"".join(raw)
-        rest = [w for w in words if not (w.isascii() or w.isalpha())]
-        for i in range(0, len(rest), 4000):
-            part = rest[i : i + 4000]
-            known.update(self._split(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, part))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        plain: list[tuple[int, str, list[str]]] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if text:
-                if any(map(text.__contains__, _CONTROLS)) if text.isascii() else _UNLIKE.search(text):
-                    whole.append(i)
-                else:
-                    first, *rest = _CUT.split(text) if text[-1] == " " or any(map(text.__contains__, _CLOSE)) else text.split(" ")
-                    plain.append((i, first, rest))
-        need: set[str] = set()
-        for _, _, rest in plain:
-            need.update(rest)
-        for cache in (self.known, self.pieces, self.heads):
-            if len(cache) > self.limit:
-                cache.clear()
-        known = self.known
-        fresh = [w for w in need if w not in known]
-        spaced = [w for w in fresh if " " in w or len(w) > self.longest]
-        once = dict(zip(spaced, self._library([" " + w for w in spaced]), strict=True))
-        self._learn([w for w in fresh if " " not in w and len(w) <= self.longest])
-        if once:
-            known = _Both(known, once)
-        firsts = list({first for _, first, _ in plain if first not in self.heads})
-        heads = dict(zip(firsts, self._library(firsts), strict=True))
-        self.heads.update((w, x) for w, x in heads.items() if len(w) <= self.longest)
-        out = [b""] * len(texts)
-        for i, first, rest in plain:
-            head = self.heads.get(first)
-            out[i] = (heads[first] if head is None else head) + b"".join(map(known.__getitem__, rest))
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
-
-
-class _Both:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, word: str) -> bytes:
-        got = self.first.get(word)
-        return self.second[word] if got is None else got
+        self.limit, self.at_once, self.slice_chars, self.longest = limit, at_once, slice_chars, longest
+        self._reset([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _reset(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.slots = _Slots(words)
+        self.pool, self.counts, self.starts = ids, counts, np.cumsum(counts) - counts
+        self.uses = np.zeros(len(words), np.int32)
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self) -> None:
+        """Ids of the new words go to the end of the pool: first of words of one piece, then,
+        copied from these, of words of several."""
+        slots, letters, merge = self.slots, self.letters, self.tokenizer.model.tokenize
+        words, slots.fresh = slots.fresh, []
+        single: list[str] = []
+        several: list[str] = []
+        parts: list[int] = []
+        sizes: list[int] = []
+        for word in words:
+            if word.isalpha() or word[0] == _RAW:
+                single.append(word)
+                continue
+            cut = _ASCII if word.isascii() else _LATIN
+            pieces = cut.findall(word[1:] if word[0] == _BARE else " " + word)
+            if len(pieces) == 1:
+                single.append(word)
+            else:
+                several.append(word)
+                sizes.append(len(pieces))
+                parts += [slots[x[1:] if x[0] == " " and not x.isspace() else _BARE + x] for x in pieces]
+        single += slots.fresh  # pieces that have not been words so far
+        ids: list[int] = []
+        counts: list[int] = []
+        for word in single:
+            if word[0] == _RAW:
+                got = self._library(word[1:])
+            else:
+                piece = word[1:] if word[0] == _BARE else " " + word
+                got = [t.id for t in merge((piece if piece.isascii() else piece.encode().decode("latin-1")).translate(letters))]
+            ids += got
+            counts.append(len(got))
+        self._add(single, np.array(ids, np.uint32), np.array(counts, np.int64))
+        if several:
+            copied, edges = self._gather(np.array(parts, np.int64))
+            ends = edges[np.cumsum(sizes)]
+            self._add(several, copied, np.diff(ends, prepend=0))
+        for word in [*words, *slots.fresh]:
+            if len(word) > self.longest:
+                del slots[word]
+        slots.fresh = []
+
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        new = self.slots.next - len(self.counts)
+        if new > 0:
+            self.counts, self.starts, self.uses = (np.concatenate([x, np.zeros(new, x.dtype)]) for x in (self.counts, self.starts, self.uses))
+        at = np.array([self.slots[w] for w in words], np.int64)
+        self.counts[at], self.starts[at] = counts, len(self.pool) + np.cumsum(counts) - counts
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _forget(self) -> None:
+        """Above the limit only words of several batches stay; if these are too many, none."""
+        if len(self.slots) <= self.limit and len(self.pool) <= 16 * self.limit:
+            return
+        kept = [(w, i) for w, i in self.slots.items() if self.uses[i] > 1]
+        if 2 * len(kept) > self.limit:
+            kept = []
+        at = np.array([i for _, i in kept], np.int64)
+        self._reset([w for w, _ in kept], self._gather(at)[0], self.counts[at])
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered words one after another, and the edges of each."""
+        counts = self.counts[at]
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        return self.pool[np.repeat(self.starts[at] - edges[:-1], counts) + np.arange(edges[-1])], edges
+
+    def _words(self, text: str) -> list[str]:
+        """Keys of the words of a text."""
+        if text.isascii():
+            plain = not any(map(text.__contains__, _CONTROLS))
+            odd = False
+        else:
+            odd = _OTHER.search(text) is not None
+            plain = not odd or text.isprintable() or not any(c.isspace() and c not in "\t\n\v\f\r " for c in set(text))
+        if not plain:
+            return [_RAW + text]
+        words = _CUT.split(text) if text[-1] == " " or any(map(text.__contains__, _CLOSE)) else text.split(" ")
+        words[0] = _BARE + words[0]
+        if odd:
+            words = [w if w.isascii() or _OTHER.search(w) is None else _RAW + (w[1:] if w[0] == _BARE else " " + w) for w in words]
+        return words[1:] if words[0] == _BARE else words
+
+    def _slices(self, text: str) -> list[str]:
+        out, at = [], 0
+        while len(text) - at > self.slice_chars:
+            end = _CUT.search(text, at + self.slice_chars)
+            if end is None:
+                break
+            out.append(text[at : end.start()])
+            at = end.start()
+        return [*out, text[at:]]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        lengths = np.zeros(len(texts), np.int64)
+        words: list[str] = []
+        marks: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            nonlocal words, marks
+            self._forget()
+            at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+            if self.slots.fresh:
+                self._learn()
+            self.uses += np.bincount(at, minlength=len(self.uses)) > 0
+            ids, edges = self._gather(at)
+            found.append(ids)
+            a = 0
+            for i, b in marks:
+                lengths[i] += edges[b] - edges[a]
+                a = b
+            words, marks = [], []
+
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles
+        try:
+            for i, text in enumerate(texts):
+                for part in self._slices(text) if text else ():
+                    words += self._words(part)
+                    marks.append((i, len(words)))
+                    if len(words) > self.at_once:
+                        flush()
+            flush()
+        finally:
+            if collecting:
+                gc.enable()
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(lengths)])
