@@ -56,11 +56,11 @@ def _directions(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BINS, DIMS)) / np.sqrt(BINS)
 
 
-def _place(ids: list[bytes], directions: np.ndarray) -> np.ndarray:
-    """Hilbert keys of documents given as uint32 bytes."""
-    counts = np.zeros((len(ids), BINS))
-    for i, raw in enumerate(ids):
-        counts[i] = np.bincount(np.frombuffer(raw, "<u4") % BINS, minlength=BINS)
+def _place(ids: np.ndarray, edges: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents whose ids lie between the edges."""
+    n = len(edges) - 1
+    row = np.repeat(np.arange(n), np.diff(edges))
+    counts = np.bincount(row * BINS + ids % BINS, minlength=n * BINS).reshape(n, BINS)
     seen = np.sqrt(counts)
     seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)
     # a unit vector's projection has a deviation near 1/16; +-0.5 spans what occurs, the rest goes to the rim
@@ -80,14 +80,19 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     parts = parts_for(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts, directions, end = encoder(tokenizer).encode, _directions(), np.array([end_id], "<u4").tobytes()
+        encode_texts, directions = encoder(tokenizer).encode, _directions()
         for batch in batches:
-            ids = [x + end for x in encode_texts(batch.column(1).to_pylist())]
-            # ids below 2**16 are stored in two bytes
-            small = [a.astype("<u2").tobytes() if len(a) == 0 or a.max() < 65536 else b"\xff" + a.tobytes() for a in (np.frombuffer(x, "<u4") for x in ids)]
-            keys = _place(ids, directions) if ids else np.zeros(0, np.int64)
-            tie = mix(np.array([zlib.crc32(x) for x in ids], np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(tie, pa.int64()), pa.array(small, pa.binary())], names=["doc_id", "key", "tie", "ids"])
+            ids, edges = encode_texts(batch.column(1).to_pylist())
+            ids = np.insert(ids, edges[1:], np.uint32(end_id)).astype("<u4", copy=False)
+            edges = edges + np.arange(len(edges))
+            keys = _place(ids, edges, directions)
+            tie = mix(np.array([zlib.crc32(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)], np.uint64)).astype(np.int64)
+            # ids below 2**16 are stored in two bytes, others in four after one that makes the length odd
+            if not len(ids) or ids.max() < 65536:
+                small = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(2 * edges), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
+            else:
+                small = pa.array([b"\xff" + ids[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(tie, pa.int64()), small], names=["doc_id", "key", "tie", "ids"])
 
     placed = table(documents(docs).mapInArrow(encode, "doc_id long, key long, tie long, ids binary"), "placed")
     ranged = placed.repartitionByRange(parts, "key", "tie", "doc_id").sortWithinPartitions("key", "tie", "doc_id")
