@@ -8,12 +8,27 @@ from pyspark.sql import functions as F
 from ticklake.schema import SCALE
 
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Tokens whose whole part fits into a bigint, without an exponent.
+_PLAIN = r"^[+-]?(?:[0-9]{1,18}(?:\.[0-9]*)?|\.[0-9]+)$"
 
 
 def parse_fixed(text: Column) -> Column:
     """Mantissa at 1e-8 of a decimal token, exactly; null if it is malformed, too large or
-    finer than 1e-8.  The decimal cast rounds and trims, so the digits are moved as text:
-    sign, digits without the dot, and an exponent that counts the fraction."""
+    finer than 1e-8.  Plain tokens are cut at the dot into two integers; exponents and long
+    whole parts take the general way, which is evaluated for them alone."""
+    return F.when(text.rlike(_PLAIN), _parse_plain(text)).when(text.rlike(_NUMBER), _parse_any(text))
+
+
+def _parse_plain(text: Column) -> Column:
+    whole = F.coalesce(F.substring_index(text, ".", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    fraction = F.when(F.instr(text, ".") > 0, F.rtrim(F.substring_index(text, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+    part = F.rpad(fraction, 8, "0").try_cast("bigint")
+    signed = F.when(text.startswith("-"), -part).otherwise(part)
+    return F.when(F.length(fraction) <= 8, F.try_add(F.try_multiply(whole, F.lit(SCALE)), signed))
+
+
+def _parse_any(text: Column) -> Column:
+    """Digits moved as text: sign, digits without the dot, and an exponent that counts the fraction."""
     body = F.regexp_replace(text, r"^[+-]|[eE].*$", "")
     exponent = F.coalesce(F.try_to_number(F.regexp_extract(text, r"[eE]\+?(-?[0-9]{1,4})$", 1), F.lit("S9999")).cast("int"), F.lit(0))
     fraction = F.length(F.regexp_extract(body, r"\.([0-9]*)$", 1))
@@ -23,7 +38,7 @@ def parse_fixed(text: Column) -> Column:
     shift = F.lit(8) + exponent - fraction + zeros
     whole = F.when(trimmed == "", F.lit("0")).when((shift >= 0) & (F.length(trimmed) + shift <= 19), F.concat(trimmed, F.repeat(F.lit("0"), F.greatest(shift, F.lit(0)).cast("int"))))
     value = F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), whole)
-    return F.when(text.rlike(_NUMBER), value.try_cast("bigint"))
+    return value.try_cast("bigint")
 
 
 def format_fixed(mantissa: Column) -> Column:
@@ -54,8 +69,10 @@ def rfc3339_ns(text: Column) -> Column:
 
 def taker_side(venue: Column, side: Column) -> Column:
     """1 if the taker sold: the first venue names the maker's side, the second says whether
-    the buyer was the maker, the third names the taker's side."""
-    return F.when(venue == 1, side == "buy").when(venue == 2, side == "true").otherwise(side == "sell").cast("int")
+    the buyer was the maker, the third names the taker's side.  Null for any other word."""
+    sold = F.when(venue == 1, "buy").when(venue == 2, "true").otherwise("sell")
+    bought = F.when(venue == 1, "sell").when(venue == 2, "false").otherwise("buy")
+    return F.when(side == sold, 1).when(side == bought, 0).cast("int")
 
 
 def crc_digits(mantissa: Column, decimals: Column) -> Column:

@@ -77,13 +77,122 @@ def kraken_book(spark: SparkSession, d: str) -> DataFrame:
     return codecs.kraken_book(frames, instruments(spark))
 
 
-@query("kraken_trade", TICKS + f"SELECT event_id AS frame_id, 0 AS sub, instrument, kind, price, qty, {_TIME_NS} AS venue_ts, 0::BIGINT AS venue_seq, flags, event_id AS aux FROM tick WHERE venue = 3 AND kind = 3")
+@query("kraken_trade", TICKS + f"SELECT event_id AS frame_id, 0 AS sub, instrument, kind, price, qty, {_TIME_NS} AS venue_ts, event_id AS venue_seq, flags, event_id AS aux FROM tick WHERE venue = 3 AND kind = 3")
 def kraken_trade(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d).where("venue = 3 and kind = 3").withColumn("side", F.when(F.col("flags") == 1, "sell").otherwise("buy"))
     frames = rows.select("frame_id", _format('{"channel":"trade","type":"update","data":[{"symbol":"<venue_symbol>","side":"<side>","price":<p>,"qty":<q>,"ord_type":"limit","trade_id":<event_id>,"timestamp":"<time>"}]}').alias("payload"))
     return codecs.kraken_trade(frames, instruments(spark))
 
 
+_COLUMNS = "frame_id, sub, instrument, kind, price, qty, aux, flags, venue_ts, venue_seq"
+
+
+@query("kraken_multi", TICKS + f"""
+, f AS (SELECT *, event_id % 4 AS entries, CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS bad FROM tick WHERE venue = 3 AND kind = 3),
+ e AS (SELECT *, CAST(unnest(range(0, entries)) AS INTEGER) AS n FROM f)
+ SELECT event_id AS frame_id, n AS sub, instrument, 3 AS kind, price + n * 100000000 AS price, qty, event_id * 10 + n AS aux, CAST((flags + n) % 2 AS INTEGER) AS flags, {_TIME_NS} AS venue_ts, event_id * 10 + n AS venue_seq
+ FROM e WHERE bad = 0""")
+def kraken_multi(spark: SparkSession, d: str) -> DataFrame:
+    """Trade frames of none to three entries; a frame whose last entry names no side goes whole."""
+    rows = _texts(spark, d).where("venue = 3 and kind = 3").withColumn("entries", (F.col("event_id") % 4).cast("int"))
+
+    def entry(n):
+        sold = (F.col("flags") + n) % 2 == 1
+        last = (F.col("event_id") % 11 == 0) & (n == F.col("entries") - 1)
+        side = F.when(last, "hold").when(sold, "sell").otherwise("buy")
+        price = F.concat((F.call_function("div", F.col("price"), F.lit(S.SCALE)) + n).cast("string"), F.lit("."), F.lpad((F.col("price") % S.SCALE).cast("string"), 8, "0"))
+        return F.concat(F.lit('{"symbol":"'), F.col("venue_symbol"), F.lit('","side":"'), side, F.lit('","price":'), price, F.lit(',"qty":'), F.col("q"), F.lit(',"ord_type":"limit","trade_id":'), F.col("event_id") * 10 + n, F.lit(',"timestamp":"'), F.col("time"), F.lit('"}'))
+
+    each = F.when(F.col("entries") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("entries") - 1, F.lit(0))), entry)).otherwise(F.array().cast("array<string>"))
+    payload = F.concat(F.lit('{"channel":"trade","type":"update","data":['), F.array_join(each, ","), F.lit("]}"))
+    return codecs.ticks(codecs.decode_kraken(rows.select("frame_id", payload.alias("payload")), instruments(spark)))
+
+
+@query("kraken_snapshot", TICKS + """
+, f AS (SELECT *, event_id % 3 AS levels FROM tick WHERE venue = 3 AND kind = 1 AND price > 0),
+ parts AS (SELECT *, 0 AS entry FROM f UNION ALL SELECT *, 1 AS entry FROM f),
+ z AS (SELECT *, unnest([0, 1] || range(100, 100 + levels) || [200, 300]) AS step FROM parts)
+ SELECT event_id AS frame_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY entry, step) - 1 AS INTEGER) AS sub, instrument,
+  CASE WHEN step = 0 THEN 11 WHEN step = 1 THEN 4 WHEN step < 200 THEN 5 WHEN step = 200 THEN 6 ELSE 7 END AS kind,
+  CASE WHEN step BETWEEN 100 AND 199 THEN price - (step - 100) * 100000000 WHEN step = 200 THEN price + 500000000 ELSE 0 END AS price,
+  CASE WHEN step BETWEEN 100 AND 200 THEN qty ELSE 0 END AS qty, CASE WHEN step = 1 THEN levels + 1 WHEN step = 300 THEN event_id + entry ELSE 0 END AS aux,
+  2 AS flags, 0::BIGINT AS venue_ts, 0::BIGINT AS venue_seq FROM z""")
+def kraken_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Book snapshots of two entries, each of up to two bids and an ask, as brackets."""
+    rows = _texts(spark, d).where("venue = 3 and kind = 1 and price > 0").withColumn("levels", (F.col("event_id") % 3).cast("int"))
+
+    def level(shift):
+        price = F.concat((F.call_function("div", F.col("price"), F.lit(S.SCALE)) + shift).cast("string"), F.lit("."), F.lpad((F.col("price") % S.SCALE).cast("string"), 8, "0"))
+        return F.concat(F.lit('{"price":'), price, F.lit(',"qty":'), F.col("q"), F.lit("}"))
+
+    bids = F.when(F.col("levels") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("levels") - 1, F.lit(0))), lambda i: level(-i))).otherwise(F.array().cast("array<string>"))
+    entry = lambda n: F.concat(F.lit('{"symbol":"'), F.col("venue_symbol"), F.lit('","bids":['), F.array_join(bids, ","), F.lit('],"asks":['), level(F.lit(5)), F.lit('],"checksum":'), F.col("event_id") + n, F.lit("}"))
+    payload = F.concat(F.lit('{"channel":"book","type":"snapshot","data":['), entry(0), F.lit(","), entry(1), F.lit("]}"))
+    return codecs.ticks(codecs.decode_kraken(rows.select("frame_id", payload.alias("payload")), instruments(spark)))
+
+
+@query("coinbase_snapshot", TICKS + f"""
+, f AS (SELECT * FROM tick WHERE venue = 1 AND kind IN (1, 2)),
+ z AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS step FROM f)
+ SELECT event_id AS frame_id, CAST(step AS INTEGER) AS sub, instrument, [11, 4, 5, 6, 7][step + 1] AS kind,
+  CASE step WHEN 2 THEN price WHEN 3 THEN price + 100000000 ELSE 0 END AS price, CASE WHEN step IN (2, 3) THEN qty ELSE 0 END AS qty, CASE step WHEN 1 THEN 2 ELSE 0 END::BIGINT AS aux,
+  2 AS flags, CASE WHEN event_id % 2 = 0 THEN {_TIME_NS} ELSE 0 END AS venue_ts, 0::BIGINT AS venue_seq FROM z""")
+def coinbase_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots with and without a time; the asks stand first in the text, the bids in the ticks."""
+    rows = _texts(spark, d).where("venue = 1 and kind in (1, 2)")
+    up = F.concat((F.call_function("div", F.col("price"), F.lit(S.SCALE)) + 1).cast("string"), F.lit("."), F.lpad((F.col("price") % S.SCALE).cast("string"), 8, "0"))
+    rows = rows.withColumns({"up": up, "stamp": F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"time":"'), "time", F.lit('"')))})
+    frames = rows.select("frame_id", _format('{"type":"snapshot","product_id":"<venue_symbol>","asks":[["<up>","<q>"]],"bids":[["<p>","<q>"]]<stamp>}').alias("payload"))
+    return codecs.ticks(codecs.decode_coinbase(frames, instruments(spark)))
+
+
+@query("coinbase_heartbeat", TICKS + f"SELECT event_id AS frame_id, 0 AS sub, instrument, 9 AS kind, 0::BIGINT AS price, 0::BIGINT AS qty, event_id * 3 AS aux, 0 AS flags, {_TIME_NS} AS venue_ts, venue_seq FROM tick WHERE venue = 1 AND sub = 0")
+def coinbase_heartbeat(spark: SparkSession, d: str) -> DataFrame:
+    rows = _texts(spark, d).where("venue = 1 and sub = 0").withColumn("last", F.col("event_id") * 3)
+    frames = rows.select("frame_id", _format('{"type":"heartbeat","last_trade_id":<last>,"product_id":"<venue_symbol>","sequence":<venue_seq>,"time":"<time>"}').alias("payload"))
+    return codecs.ticks(codecs.decode_coinbase(frames, instruments(spark)))
+
+
+@query("binance_trade", TICKS + "SELECT event_id AS frame_id, 0 AS sub, instrument, 3 AS kind, price, qty, event_id AS aux, flags, (event_id + 7) * 1000000 AS venue_ts, event_id AS venue_seq FROM tick WHERE venue = 2 AND kind = 3")
+def binance_trade(spark: SparkSession, d: str) -> DataFrame:
+    rows = _texts(spark, d).where("venue = 2 and kind = 3").withColumns({"ms": F.col("event_id") + 7, "maker": F.when(F.col("flags") == 1, "true").otherwise("false")})
+    frames = rows.select("frame_id", _format('{"stream":"x@trade","data":{"e":"trade","E":<event_id>,"s":"<venue_symbol>","t":<event_id>,"p":"<p>","q":"<q>","T":<ms>,"m":<maker>,"M":true}}').alias("payload"))
+    return codecs.ticks(codecs.decode_binance(frames, instruments(spark)))
+
+
+@query("rest_books", TICKS + f"""
+, f AS (SELECT * FROM tick WHERE venue IN (1, 2) AND kind IN (1, 2)), z AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS step FROM f)
+ SELECT event_id AS frame_id, CAST(step AS INTEGER) AS sub, instrument, [11, 4, 5, 6, 7][step + 1] AS kind,
+  CASE step WHEN 2 THEN price WHEN 3 THEN price + 100000000 ELSE 0 END AS price, CASE WHEN step IN (2, 3) THEN qty ELSE 0 END AS qty, CASE step WHEN 1 THEN 2 ELSE 0 END::BIGINT AS aux,
+  6 AS flags, CASE WHEN venue = 1 THEN {_TIME_NS} ELSE 0 END AS venue_ts, event_id AS venue_seq FROM z""")
+def rest_books(spark: SparkSession, d: str) -> DataFrame:
+    """REST books of two venues; the first's body holds an earlier time that does not count."""
+    rows = _texts(spark, d).where("venue in (1, 2) and kind in (1, 2)")
+    up = F.concat((F.call_function("div", F.col("price"), F.lit(S.SCALE)) + 1).cast("string"), F.lit("."), F.lpad((F.col("price") % S.SCALE).cast("string"), 8, "0"))
+    rows = rows.withColumn("up", up)
+    first = _format('{"bids":[["<p>","<q>",3]],"asks":[["<up>","<q>",1]],"sequence":<event_id>,"auction":{"time":"2020-01-01T00:00:00Z"},"time":"<time>"}')
+    second = _format('{"lastUpdateId":<event_id>,"bids":[["<p>","<q>"]],"asks":[["<up>","<q>"]]}')
+    return codecs.ticks(codecs.decode_rest(rows.select("frame_id", "venue", "instrument", F.when(F.col("venue") == 1, first).otherwise(second).alias("payload"))))
+
+
+_CAUSE = "CASE event_id % 7 WHEN 0 THEN 'level' WHEN 1 THEN 'side' WHEN 2 THEN 'unknown_symbol' WHEN 3 THEN 'time' WHEN 4 THEN 'structure' END"
+
+
+@query("codec_reject_causes", TICKS + f", f AS (SELECT event_id, {_CAUSE} AS cause FROM tick WHERE venue = 1 AND kind IN (1, 2)) SELECT coalesce(cause, 'none') AS cause, count(*) AS frames, CAST(sum(CASE WHEN cause IS NULL THEN 2 ELSE 0 END) AS BIGINT) AS ticks FROM f GROUP BY ALL")
+def codec_reject_causes(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a good level and one that is bad in one of four ways, or cut short; a bad
+    frame gives no tick."""
+    rows = _texts(spark, d).where("venue = 1 and kind in (1, 2)")
+    way = F.col("event_id") % 7
+    rows = rows.withColumns({
+        "second": F.when(way == 0, '["sell","1x","2"]').when(way == 1, '["hold","1","2"]').otherwise('["sell","1","2"]'),
+        "symbol": F.when(way == 2, "NEW-COIN").otherwise(F.col("venue_symbol")), "stamp": F.when(way == 3, "yesterday").otherwise(F.col("time")), "close": F.when(way == 4, '"').otherwise('"}'),
+    })
+    frames = rows.select("frame_id", _format('{"type":"l2update","product_id":"<symbol>","changes":[["buy","<p>","<q>"],<second>],"time":"<stamp><close>').alias("payload"))
+    decoded = codecs.decode_coinbase(frames, instruments(spark))
+    return decoded.groupBy(F.coalesce("cause", F.lit("none")).alias("cause")).agg(F.count("*").alias("frames"), F.sum(F.when(F.col("cause").isNull(), F.size("ticks")).otherwise(0)).cast("bigint").alias("ticks"))
+
+
 @query("codec_errors", TICKS + "SELECT instrument, count(*) AS frames, count(CASE WHEN event_id % 5 = 0 THEN 1 END) AS errors FROM tick WHERE venue = 1 AND kind IN (1, 2) GROUP BY instrument")
 def codec_errors(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth frame has a bad second level, so its good first level goes too."""
