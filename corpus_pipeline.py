@@ -53,15 +53,18 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.unionByName(given.where("class_row is null")).select(*COLUMNS)
 
 
+#: Bytes of a repeated string that the pipeline cuts: a passage of 50 words is seldom shorter.
+REPEAT, GRAM = 240, 60
+
+
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated long byte strings are cut out of the texts; a character that a cut splits
-    goes with it, n_chars follows the text, and documents of no text left stay empty."""
-    # a doc_id may repeat, so the cuts go by text: equal texts are cut alike
-    cut = repeats.remove_repeats(docs).where(F.size("spans") > 0).select(F.col("text_hash").alias("cut_hash"), "kept_text").dropDuplicates(["cut_hash"])
-    joined = docs.select(*COLUMNS).join(cut, F.sha2("text", 256) == F.col("cut_hash"), "left")
-    text = F.coalesce("kept_text", "text")
-    n_chars = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    """Strings of ``REPEAT`` bytes or more that occur elsewhere are cut out of the texts; a
+    character that a cut splits goes with it, n_chars follows the text, and documents of no
+    text left stay empty.  Null texts stay null; rows that share a doc_id are separate
+    documents; other columns of ``docs`` go; an empty table gives no rows."""
+    got = repeats.remove_repeats(docs, REPEAT, GRAM, more=("lang", "source", "n_chars"))
+    n_chars = F.when(F.size("spans") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars").cast("long"))
+    return got.select("doc_id", F.col("kept_text").alias("text"), F.col("rest.lang").alias("lang"), F.col("rest.source").alias("source"), n_chars.alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
