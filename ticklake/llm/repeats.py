@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticklake.llm.common import documents, mix, prepare, rows, table
 
@@ -249,17 +250,24 @@ def _merged(runs: Column) -> Column:
     return F.aggregate(runs, F.array().cast("array<struct<first:int,last:int>>"), add)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def _fields(text: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(text).fields
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, more: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, n_bytes, spans (array of struct(start, end):
     maximal removed runs of bytes), kept (remaining bytes, binary), kept_text (the same
-    without characters that a cut splits), text_hash (sha-256 of the text, where bytes go)
-    and row_id.
+    without characters that a cut splits; null for a null text), row_id and ``rest`` (the
+    document's columns ``more`` as they are).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else,
     in this or another document, judged on the input.  Null and empty texts have no
     bytes; rows that repeat a doc_id are separate documents (so exact copies of
-    ``length`` bytes or more go whole); an empty table gives no rows."""
-    source = documents(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ``length`` bytes or more go whole); very long texts are read in pieces of 4 MB by the
+    anchors and whole otherwise; no result depends on the order of rows or on ties; other
+    columns of ``docs``, whatever their names, are not read; an empty table gives no rows."""
+    rest = F.struct(*more) if more else F.lit(None).cast("boolean")
+    source = documents(docs, rest.alias("rest")).withColumns({"row_id": F.monotonically_increasing_id(), "tkey": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,22 +276,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             columns = [pa.array([x[i].astype(np.int64) for x in found], pa.list_(pa.int64())).cast(pa.list_(k)) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "hash", "pos", "first", "last"])
 
-    schema = "row_id long, doc_id long, text string, hash array<long>, pos array<int>, first array<int>, last array<int>"
+    schema = T.StructType([*source.schema.fields, *_fields("hash array<long>, pos array<int>, first array<int>, last array<int>")])
     scanned = table(source.mapInArrow(scan, schema), "scanned")
-    each = scanned.select("row_id", F.posexplode("hash").alias("i", "hash"))
+    # equal texts are looked at once: one row of them stands for all
+    classes = table(scanned.groupBy("tkey").agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies"), F.first("hash").alias("hash")), "classes")
+    each = classes.select("row_id", "copies", F.posexplode("hash").alias("i", "hash"))
     twice = table(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
-    hits = each.join(twice, "hash").groupBy("row_id").agg(F.collect_list("i").alias("hits"))
-    held = scanned.join(hits, "row_id")
+    hits = each.join(twice, "hash").groupBy("row_id").agg(F.first("copies").alias("copies"), F.collect_list("i").alias("hits"))
+    held = scanned.select("row_id", "text", "hash", "pos", "first", "last").join(hits, "row_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for row_id, text, hashes, pos, first, last, hit in rows(batch, "row_id", "text", "hash", "pos", "first", "last", "hits"):
+            for row_id, text, hashes, pos, first, last, copies, hit in rows(batch, "row_id", "text", "hash", "pos", "first", "last", "copies", "hits"):
                 data = text.encode()
                 for i in hit:
-                    out.append((row_id, first[i], hashes[i].to_bytes(8, "little", signed=True), data[first[i] : last[i] + length], pos[i] - first[i], 1))
+                    out.append((row_id, first[i], hashes[i].to_bytes(8, "little", signed=True), data[first[i] : last[i] + length], pos[i] - first[i], copies))
                     size += last[i] + length - first[i]
                     if size > 8 << 20:
                         yield _batch(out, kinds)
@@ -292,27 +302,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     contexts = held.mapInArrow(cut, "owner long, at int, key binary, ctx binary, off int, n long")
     spans = _by_owner(_mark(contexts, WIDTHS, length, hot)).withColumnRenamed("owner", "row_id")
+    changes = table(classes.select("row_id", "tkey", "copies").join(spans, "row_id", "left").where("copies > 1 or runs is not null").drop("row_id"), "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row_id, doc_id, text, runs in rows(batch, "row_id", "doc_id", "text", "runs"):
-                data = np.frombuffer(text.encode(), np.uint8)
+            for text, copies, runs in rows(batch, "text", "copies", "runs"):
+                raw = (text or "").encode()
+                if not runs and not (copies and copies > 1 and len(raw) >= length):
+                    out.append((len(raw), [], raw, text))
+                    continue
+                data = np.frombuffer(raw, np.uint8)
                 gone = np.zeros(len(data) + 1, np.int32)
                 for run in runs or ():
                     gone[run["first"]] += 1
                     gone[run["last"] + length] -= 1
                 mask = np.cumsum(gone[:-1]) > 0
+                if copies > 1:
+                    mask[:] = True
                 a, b = _runs(mask)
                 kept = data[~mask].tobytes()
-                out.append((row_id, doc_id, len(data), [{"start": x, "end": y + 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)], kept, kept.decode("utf-8", "ignore"), hashlib.sha256(data).hexdigest() if a.size else None))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row_id", "doc_id", "n_bytes", "spans", "kept", "kept_text", "text_hash"])
+                out.append((len(data), [{"start": x, "end": y + 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)], kept, kept.decode("utf-8", "ignore")))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
+            given = {n: batch.column(batch.schema.get_field_index(n)) for n in ("row_id", "doc_id", "rest")}
+            yield pa.RecordBatch.from_arrays([*given.values(), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*given, "n_bytes", "spans", "kept", "kept_text"])
 
-    result = "row_id long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string, text_hash string"
-    changed = scanned.select("row_id", "doc_id", "text").join(table(spans, "spans"), "row_id", "left")
-    return changed.mapInArrow(strip, result)
+    whole = scanned.select("row_id", "doc_id", "rest", "text", "tkey").join(changes, "tkey", "left").drop("tkey")
+    result = T.StructType([whole.schema[n] for n in ("row_id", "doc_id", "rest")] + _fields("n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"))
+    return whole.mapInArrow(strip, result)
 
 
 def _batch(out: list[tuple], kinds: list) -> pa.RecordBatch:
@@ -321,5 +339,7 @@ def _batch(out: list[tuple], kinds: list) -> pa.RecordBatch:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining text."""
     got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("kept_text", F.lit("")).alias("text"))
