@@ -93,8 +93,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     model = Model(np.log((1 + n) / (1 + df)) + 0.1)
 
     share = max(20, sample // len(sizes))
-    limit = F.create_map(*[x for lang, m in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, share / m) * 1_000_000)))])
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < limit[F.col("lang")])
+    # 62 bits of a hash, so that the share is right for any number of documents
+    limit = F.create_map(*[x for lang, m in sizes.items() for x in (F.lit(lang), F.lit((min(share, m) << 62) // m))])
+    drawn = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < limit[F.col("lang")])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
