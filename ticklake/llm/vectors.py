@@ -37,9 +37,23 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
 
 
-def _list_batch(ids: list[int], lists: list[list[tuple[float, int]]]) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())]))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([[{"s": s, "v": v} for s, v in x] for x in lists], kind)], names=["nid", "near"])
+def _offers(ids: np.ndarray, s: np.ndarray, v: np.ndarray, k: int) -> pa.Table:
+    """One list for each node of ``ids``: the ``k`` most similar of what it is offered, a
+    node that several offer once.  Similarities are rounded, as sums in another order differ
+    in their last digits; ties go to the smaller number."""
+    s = np.round(s, 9)
+    order = np.lexsort((-s, v, ids))
+    ids, s, v = ids[order], s[order], v[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (v[1:] != v[:-1])
+    ids, s, v = ids[new], s[new], v[new]
+    order = np.lexsort((v, -s, ids))
+    ids, s, v = ids[order], s[order], v[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
+    counts = np.diff(np.concatenate([first, [len(ids)]]))
+    best = np.arange(len(ids)) - np.repeat(first, counts) < k
+    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.minimum(counts, k))]).astype(np.int32), pa.StructArray.from_arrays([pa.array(s[best]), pa.array(v[best])], names=["s", "v"]))
+    return pa.table({"nid": pa.array(ids[first], pa.int64()), "near": lists})
 
 
 def _best(lists: DataFrame, k: int) -> DataFrame:
@@ -79,20 +93,23 @@ def _start(nodes: DataFrame, n: int, k: int, seed: int, kind: str) -> DataFrame:
         np.fill_diagonal(sims, -2)
         keep = min(k, len(ids) - 1)
         near = np.argpartition(-sims, keep - 1, axis=1)[:, :keep] if keep else np.zeros((len(ids), 0), int)
-        return pa.Table.from_batches([_list_batch(ids.tolist(), [list(zip(sims[i, a].tolist(), ids[a].tolist(), strict=True)) for i, a in enumerate(near)])])
+        return _offers(np.repeat(ids, keep), np.take_along_axis(sims, near, axis=1).ravel(), ids[near].ravel(), k)
 
     return dealt.groupBy("dim", "tree", "cell", "part").applyInArrow(compare, f"nid long, near {_LIST}")
 
 
 def _refine(graph: DataFrame, nodes: DataFrame, n: int, k: int, kind: str) -> DataFrame:
     """Lists that neighbours of neighbours offer: the members of a list and of its
-    reverse meet at its centre, and pairs better than a member's last entry are told."""
+    reverse meet at its centre, and a member hears of the ``k`` best that beat its last entry.
+    A node that very many list meets the others at about 8k of these centres."""
     out = graph.select(F.col("nid").alias("centre"), F.explode("near.v").alias("member"))
     back = out.select(F.col("member").alias("centre"), F.col("centre").alias("member"))
     fame = table(back.groupBy("centre").agg(F.count("*").alias("m")), "fame")
     # a well-known centre hears about 2k of those that list it, chosen by a hash
-    heard = back.join(fame, "centre").where(F.pmod(F.xxhash64("centre", "member"), F.lit(1 << 20)) < F.lit(2.0 * k * (1 << 20)) / F.col("m")).select("centre", "member")
-    met = out.unionByName(heard).distinct()
+    draw = F.pmod(F.xxhash64("centre", "member"), F.lit(1 << 30)) * F.col("m")
+    heard = back.join(fame, "centre").where(draw < 2 * k * (1 << 30)).select("centre", "member")
+    shown = out.join(fame.withColumnRenamed("centre", "member"), "member").where(draw < 8 * k * (1 << 30)).select("centre", "member")
+    met = shown.unionByName(heard).distinct()
     last = graph.select(F.col("nid").alias("member"), F.when(F.size("near") >= k, F.element_at("near.s", -1)).otherwise(F.lit(-2.0)).alias("last"))
     carried = nodes.select(F.col("nid").alias("member"), "raw", "dim").join(last, "member")
     groups = max(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 2 * k // 20_000)
@@ -106,20 +123,18 @@ def _refine(graph: DataFrame, nodes: DataFrame, n: int, k: int, kind: str) -> Da
         raw = [raw[i] for i in order]
         last = np.array(group.column("last").to_pylist(), np.float64)[order]
         cuts = np.flatnonzero(np.diff(centre[order])) + 1
-        ids, lists = [], []
+        found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
         for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
             if b - a < 2 or len(set(dims[a:b])) > 1:
                 continue
             x = _unit(raw[a:b], kind)
             sims = x @ x.T
-            np.fill_diagonal(sims, -2)
             sims[member[a:b, None] == member[None, a:b]] = -2
-            better = sims > last[a:b, None]
-            for i in np.flatnonzero(better.any(axis=1)):
-                js = np.flatnonzero(better[i])
-                ids.append(int(member[a + i]))
-                lists.append(list(zip(sims[i, js].tolist(), member[a + js].tolist(), strict=True)))
-        return pa.Table.from_batches([_list_batch(ids, lists)])
+            best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if b - a > k else np.tile(np.arange(b - a), (b - a, 1))
+            s = np.take_along_axis(sims, best, axis=1)
+            better = (s > last[a:b, None]) & (s > -2)
+            found.append((np.repeat(member[a:b], better.sum(axis=1)), s[better], member[a:b][best][better]))
+        return _offers(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
 
     return joined.groupBy("group").applyInArrow(meet, f"nid long, near {_LIST}")
 
@@ -228,9 +243,12 @@ def audit(nodes: DataFrame, linked: DataFrame, n: int, threshold: float, kind: s
     with every vector finds them, that were found; the mean over vectors that have any, or
     over those with at most NEIGHBOURS links if that is lower.  The sample is bounded, so it
     is broadcast."""
-    rate = int(min(1.0, most / max(1, n)) * (1 << 20))
-    asked = nodes.where(F.pmod(F.xxhash64("nid", F.lit(9)), F.lit(1 << 20)) < rate).join(linked, "nid", "left").select("nid", "dim", "raw", F.coalesce("w", F.lit(0)).alias("w")).collect()
+    # 62 bits of a hash, so that the rate is right for any number of vectors
+    rate = (1 << 62) if n <= most else (most << 62) // n
+    asked = nodes.where(F.shiftrightunsigned(F.xxhash64("nid", F.lit(9)), 2) < F.lit(rate)).join(linked, "nid", "left").select("nid", "dim", "raw", F.coalesce("w", F.lit(0)).alias("w")).collect()
     if not asked:
+        if n:
+            raise RuntimeError("no vector was drawn for the audit")
         return 1.0
     by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {r.dim for r in asked}:
