@@ -92,6 +92,32 @@ def varint_len(value: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(bits / 7)).cast("int")
 
 
+def put_uvarint(value: Column) -> Column:
+    """Unsigned LEB128 bytes of a non-negative bigint."""
+    groups = F.sequence(F.lit(0), varint_len(value) - 1)
+    octet = lambda g: F.call_function("shiftright", value, (g * 7).cast("int")).bitwiseAND(127) + F.when(g < varint_len(value) - 1, 128).otherwise(0)
+    return F.unhex(F.array_join(F.transform(groups, lambda g: F.lpad(F.hex(octet(g)), 2, "0")), ""))
+
+
+def take_uvarint(data: Column) -> Column:
+    """The bigint of LEB128 bytes; null if they end early, go on too long or overflow."""
+    size = F.length(data)
+    octet = lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("bigint")
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), octet)
+    whole = (size >= 1) & (size <= 9) & F.forall(F.slice(groups, F.lit(1), size - 1), lambda g: g >= 128) & (F.element_at(groups, -1) < 128)
+    value = F.aggregate(F.reverse(groups), F.lit(0).cast("bigint"), lambda done, g: done * 128 + g.bitwiseAND(127))
+    return F.when(whole, value)
+
+
+def unzigzag(value: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, F.lit(1)).bitwiseXOR(-value.bitwiseAND(1))
+
+
+def sql_quote(text: Column) -> Column:
+    """A text as a SQL literal: quotes doubled, within quotes."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 def wsname(name: Column) -> Column:
     """New to old symbols, part by part."""
     return F.array_join(F.transform(F.split(name, "/"), lambda p: F.when(p == "BTC", F.lit("XBT")).when(p == "DOGE", F.lit("XDG")).otherwise(p)), "/")

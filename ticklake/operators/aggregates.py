@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticklake import schema as S
+from ticklake.operators import cells
+
 WIDE = "decimal(38,0)"
 
 
@@ -13,16 +16,13 @@ def wide_sum(column: str | Column) -> Column:
     return F.sum((F.col(column) if isinstance(column, str) else column).cast(WIDE)).cast(WIDE)
 
 
-def nearest_rank(column: str, q: float) -> Column:
-    """sorted[ceil(q n) - 1]"""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
-
-
-def floor_percentiles(rows: DataFrame, by: list[str], column: str, percents: list[int]) -> DataFrame:
-    """sorted[(n - 1) * p div 100] of each group, by ranks; no group is collected."""
-    order = Window.partitionBy(*by).orderBy(column)
-    ranked = rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == F.call_function("div", (F.col("_n") - 1) * p, F.lit(100)), F.col(column))).alias(f"p{p}") for p in percents])
+def floor_percentiles(rows: DataFrame, by: list[str], column: str, percents: list[int], width: int = 1_000_000) -> DataFrame:
+    """sorted[(n - 1) * p div 100] of each group, by ranks inside cells of values; no group
+    is collected or sorted in one task."""
+    ranked = cells.numbered(rows.select(*by, column), by, [column], cells.cell(column, width), "_i")
+    sizes = rows.groupBy(*by).agg(F.count(column).alias("_n"))
+    ranked = ranked.join(sizes, by)
+    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_i") - 1 == F.call_function("div", (F.col("_n") - 1) * p, F.lit(100)), F.col(column))).alias(f"p{p}") for p in percents])
 
 
 def instrument_scan(ticks: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def instrument_scan(ticks: DataFrame) -> DataFrame:
 
 def zone_map(ticks: DataFrame, size: int) -> DataFrame:
     """Count and ranges of each block of ``size`` ticks of an instrument, in order."""
-    place = F.row_number().over(Window.partitionBy("instrument").orderBy("recv_mono", "event_id", "sub"))
-    return ticks.withColumn("block", F.call_function("div", place - 1, F.lit(size))).groupBy("instrument", "block").agg(
+    placed = cells.numbered(ticks, "instrument", list(S.ORDER), cells.cell("recv_mono"))
+    return placed.withColumn("block", F.call_function("div", F.col("place") - 1, F.lit(size))).groupBy("instrument", "block").agg(
         F.count("*").alias("n"), F.min("recv_mono").alias("min_mono"), F.max("recv_mono").alias("max_mono"), F.min("recv_wall").alias("min_wall"), F.max("recv_wall").alias("max_wall")
     )
 

@@ -1,7 +1,7 @@
 """Order books in closed form, and as an ordered fold where a depth cap forbids that.
 
-One window over (instrument, order) gives the sync state before each tick: the last
-begin, gap or clear decides, and a snapshot end since a begin completes it.  Levels live
+Running values over (instrument, order), cut into cells, give the sync state before each
+tick: the last begin, gap or clear decides, and a snapshot end since a begin completes it.  Levels live
 from the last begin or clear (the level epoch).  A book at t is, for each side and price,
 the last effective tick of the epoch that t falls in, unless it removed the level.
 """
@@ -12,33 +12,31 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklake import schema as S
+from ticklake.operators import cells
 
 
 
-def _by() -> WindowSpec:
-    return Window.partitionBy("instrument").orderBy(*S.ORDER)
+_TIME = "recv_mono"
 
 
 def with_state(ticks: DataFrame) -> DataFrame:
     """Adds sync_state before the tick, whether it takes effect, and its level epoch."""
-    by, kind = _by(), F.col("kind")
-    before, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
+    kind, place = F.col("kind"), F.struct(*S.ORDER)
     reset = kind.isin(S.SNAP_BEGIN, S.GAP, S.CLEAR)
-    rows = ticks.withColumn("place", F.row_number().over(by))
-    rows = rows.withColumns({
-        "reset_kind": F.last(F.when(reset, kind), ignorenulls=True).over(before),
-        "reset_place": F.max(F.when(reset, F.col("place"))).over(before),
-        "end_place": F.max(F.when(kind == S.SNAP_END, F.col("place"))).over(before),
-        "epoch": F.count_if(kind.isin(S.SNAP_BEGIN, S.CLEAR)).over(upto),
-    })
-    state = F.when(F.coalesce(F.col("reset_kind") != S.SNAP_BEGIN, F.lit(True)), "Unsynced").when(F.col("end_place") > F.col("reset_place"), "Synced").otherwise("Filling")
+    rows = cells.running(
+        ticks, "instrument", list(S.ORDER), cells.cell(_TIME),
+        _reset=cells.last(F.when(reset, F.struct(place.alias("at"), kind.alias("kind")))),
+        _end=cells.last(F.when(kind == S.SNAP_END, place)),
+        epoch=cells.total(kind.isin(S.SNAP_BEGIN, S.CLEAR).cast("bigint"), True),
+    )
+    state = F.when(F.coalesce(F.col("_reset.kind") != S.SNAP_BEGIN, F.lit(True)), "Unsynced").when(F.col("_end") > F.col("_reset.at"), "Synced").otherwise("Filling")
     rows = rows.withColumn("sync_state", state)
     effective = (kind.isin(S.BID_SET, S.ASK_SET) & (F.col("sync_state") == "Synced")) | (kind.isin(S.SNAP_BID, S.SNAP_ASK) & (F.col("sync_state") == "Filling"))
-    return rows.withColumn("effective", effective).drop("place", "reset_kind", "reset_place", "end_place")
+    return rows.withColumn("effective", effective).drop("_reset", "_end")
 
 
 def side() -> Column:
@@ -63,33 +61,40 @@ def outcome() -> Column:
 def snapshot_index(ticks: DataFrame) -> DataFrame:
     """Complete snapshots: (instrument, mono, event_id, sub) of begins that an end closes."""
     control = ticks.where(F.col("kind").isin(S.SNAP_BEGIN, S.SNAP_END, S.CLEAR))
-    before = F.lag(F.struct("kind", "recv_mono", "event_id", "sub")).over(_by())
-    ends = control.withColumn("before", before).where((F.col("kind") == S.SNAP_END) & (F.col("before.kind") == S.SNAP_BEGIN))
+    control = cells.running(control, "instrument", list(S.ORDER), cells.cell(_TIME), before=cells.last(F.struct("kind", "recv_mono", "event_id", "sub")))
+    ends = control.where((F.col("kind") == S.SNAP_END) & (F.col("before.kind") == S.SNAP_BEGIN))
     return ends.select("instrument", F.col("before.recv_mono").alias("mono"), F.col("before.event_id").alias("event_id"), F.col("before.sub").alias("sub"))
 
 
 def asof(queries: DataFrame, facts: DataFrame, time: str, order: list[str], value: Column) -> DataFrame:
     """Adds ``value`` of the last fact of the query's instrument at or before its ``t``
-    (null if none): both sides in one sort, no pair is ever made."""
+    (null if none): both sides in one sort of each cell of time, no pair is ever made."""
     names = queries.columns
     left = queries.withColumns({"_t": F.col("t"), "_o": F.lit(None).cast("struct<a:bigint,b:int>"), "_v": F.lit(None).cast(facts.select(value.alias("v")).schema[0].dataType), "_q": F.lit(1)})
     right = facts.select("instrument", F.col(time).alias("_t"), F.struct(F.col(order[0]).cast("bigint").alias("a"), F.col(order[1]).cast("int").alias("b")).alias("_o"), value.alias("_v"), F.lit(0).alias("_q"))
     both = left.unionByName(right, allowMissingColumns=True)
-    by = Window.partitionBy("instrument").orderBy("_t", "_q", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("found", F.last("_v", ignorenulls=True).over(by)).where("_q = 1").select(*names, "found")
+    return cells.running(both, "instrument", ["_t", "_q", "_o"], cells.cell("_t"), found=cells.last(F.col("_v"), True)).where("_q = 1").select(*names, "found")
 
 
-def levels_at(queries: DataFrame, ticks: DataFrame) -> DataFrame:
+def levels_at(queries: DataFrame, ticks: DataFrame, width: int = 3_600_000_000_000) -> DataFrame:
     """Book levels (qid, instrument, t, side, price, qty) at each query's time.
 
-    The state and epochs are computed once; a query looks up its epoch and meets only the
-    effective ticks of that epoch, by an equi-join on (instrument, epoch)."""
+    A query finds its epoch.  Of the epoch's effective ticks it meets those of its own cell
+    of time, up to its time; what earlier cells left is one quantity for each price and cell,
+    folded once for each cell that is asked about, however many queries fall into it."""
     rows = with_state(ticks)
     opened = rows.where(F.col("kind").isin(S.SNAP_BEGIN, S.CLEAR)).select("instrument", "recv_mono", "event_id", "sub", "epoch")
     placed = asof(queries, opened, "recv_mono", ["event_id", "sub"], F.col("epoch")).withColumnRenamed("found", "epoch")
-    moves = rows.where("effective").select("instrument", "epoch", side().alias("side"), "price", "qty", *S.ORDER)
-    met = placed.where("epoch is not null").join(moves, ["instrument", "epoch"]).where("recv_mono <= t")
-    last = met.groupBy("qid", "instrument", "t", "side", "price").agg(F.max_by("qty", F.struct(*S.ORDER)).alias("qty"))
+    asked = placed.where("epoch is not null").withColumn("cell", cells.cell("t", width))
+    place = F.struct(*S.ORDER)
+    moves = rows.where("effective").select("instrument", "epoch", side().alias("side"), "price", "qty", place.alias("at"), cells.cell(_TIME, width).alias("cell"))
+    own = ["instrument", "epoch", "side", "price"]
+    near = asked.join(moves, ["instrument", "epoch", "cell"]).where(F.col("at.recv_mono") <= F.col("t")).select("qid", "t", *own, "at", "qty")
+    left = moves.groupBy(*own, "cell").agg(F.max(F.struct("at", "qty")).alias("x"))
+    wanted = asked.select("instrument", "epoch", F.col("cell").alias("asked_cell")).distinct()
+    earlier = left.join(wanted, ["instrument", "epoch"]).where(F.col("cell") < F.col("asked_cell")).groupBy(*own, F.col("asked_cell").alias("cell")).agg(F.max("x").alias("x"))
+    far = asked.join(earlier, ["instrument", "epoch", "cell"]).select("qid", "t", *own, F.col("x.at").alias("at"), F.col("x.qty").alias("qty"))
+    last = near.unionByName(far).groupBy("qid", "instrument", "t", "side", "price").agg(F.max(F.struct("at", "qty"))["qty"].alias("qty"))
     return last.where("qty <> 0")
 
 
@@ -145,6 +150,33 @@ def fold(ticks: DataFrame, cap: int | None = None) -> DataFrame:
     return moves.repartition("instrument", "epoch").sortWithinPartitions("instrument", "epoch", *S.ORDER).mapInArrow(run, _FOLD)
 
 
+def folded_at(ticks: DataFrame, asked: str) -> DataFrame:
+    """Levels (qid, instrument, t, side, price, qty) of the book at each tick that meets the
+    condition ``asked`` on its state (qid: its event), by the ordered fold."""
+    rows = with_state(ticks).withColumn("asks", F.expr(asked))
+    moves = rows.where("effective or asks").select("instrument", "epoch", side().alias("side"), "price", "qty", *S.ORDER, "asks")
+    moves = moves.repartition("instrument", "epoch").sortWithinPartitions("instrument", "epoch", *S.ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, books = None, {}
+        names, kinds = ["qid", "instrument", "t", "side", "price", "qty"], [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            out = []
+            for instrument, epoch, s, price, qty, mono, event, _, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (instrument, epoch) != key:
+                    key, books = (instrument, epoch), {}
+                if asks:
+                    out += [(event, instrument, mono, *level, n) for level, n in books.items()]
+                elif qty == 0:
+                    books.pop((s, price), None)
+                else:
+                    books[s, price] = qty
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return moves.mapInArrow(run, "qid bigint, instrument int, t bigint, side string, price bigint, qty bigint")
+
+
 def _fnv(data: bytes, state: int = 0xCBF29CE484222325) -> int:
     # fixed values: offset and prime of FNV-1a with 64 bits
     for b in data:

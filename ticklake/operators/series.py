@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklake import schema as S
+from ticklake.operators import cells
+
 
 def counter_delta(column: str, by: Window) -> Column:
     """Growth of a cumulative counter; after a reset the counter itself; null at the start."""
@@ -31,10 +34,20 @@ def telemetry(ticks: DataFrame) -> DataFrame:
 
 def islands(rows: DataFrame, key: str, time: str, hole: int) -> DataFrame:
     """Stretches without a pause over ``hole``: key, island, start, end, n."""
-    by = Window.partitionBy(key).orderBy(time)
-    opened = rows.withColumn("_new", (F.col(time) - F.lag(time).over(by) > hole).cast("int"))
-    numbered = opened.withColumn("island", F.sum(F.coalesce("_new", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "island").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
+    paused = cells.running(rows.select(key, time), key, [time], cells.cell(time), _before=cells.last(F.col(time)))
+    new = (F.col(time) - F.col("_before") > hole).cast("bigint")
+    found = cells.running(paused.withColumn("_new", F.coalesce(new, F.lit(0).cast("bigint"))), key, [time], cells.cell(time), island=cells.total(F.col("_new"), True))
+    return found.groupBy(key, "island").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
+
+
+#: Places of a stream in one cell.
+_SPOTS = 100_000
+
+
+def trade_ids(ticks: DataFrame) -> DataFrame:
+    """Trades of each instrument, numbered in order: instrument, recv_mono, event_id, id."""
+    trades = ticks.where("kind = 3").select("instrument", *S.ORDER)
+    return cells.numbered(trades, "instrument", list(S.ORDER), cells.cell("recv_mono"), "id").drop("sub")
 
 
 def trades_with_holes(ticks: DataFrame) -> DataFrame:
@@ -42,49 +55,50 @@ def trades_with_holes(ticks: DataFrame) -> DataFrame:
     some pairs swapped, so that gap detection has something to find.
 
     Columns: instrument, recv_mono, event_id, id (place in the stream is ``spot``)."""
-    by = Window.partitionBy("instrument").orderBy("recv_mono", "event_id", "sub")
-    ids = ticks.where("kind = 3").select("instrument", "recv_mono", "event_id", F.row_number().over(by).alias("id"))
-    kept = ids.where("id % 11 <> 0")
+    kept = trade_ids(ticks).where("id % 11 <> 0")
     return kept.withColumn("spot", F.when(F.col("id") % 13 == 0, F.col("id") + 2).otherwise(F.col("id")) * 2 + (F.col("id") % 13 == 0).cast("int"))
 
 
 def trade_gaps(trades: DataFrame) -> DataFrame:
     """Ids missed before each trade: it jumps past all that came before (the baseline only
     advances); the first never gaps."""
-    before = Window.partitionBy("instrument").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max("id").over(before)
-    return trades.withColumn("missed", F.when(F.col("id") > seen + 1, F.col("id") - seen - 1)).where("missed is not null").select("instrument", "id", "missed")
+    seen = cells.running(trades, "instrument", ["spot"], cells.cell("spot", _SPOTS), seen=cells.most(F.col("id")))
+    return seen.withColumn("missed", F.when(F.col("id") > F.col("seen") + 1, F.col("id") - F.col("seen") - 1)).where("missed is not null").select("instrument", "id", "missed")
 
 
 def trade_gaps_by_last(trades: DataFrame) -> DataFrame:
     """Ids missed since the trade just before, whatever its id."""
-    last = F.lag("id").over(Window.partitionBy("instrument").orderBy("spot"))
-    return trades.withColumn("missed", F.when(F.col("id") > last + 1, F.col("id") - last - 1)).where("missed is not null").select("instrument", "id", "missed")
+    told = cells.running(trades, "instrument", ["spot"], cells.cell("spot", _SPOTS), last_id=cells.last(F.col("id")))
+    return told.withColumn("missed", F.when(F.col("id") > F.col("last_id") + 1, F.col("id") - F.col("last_id") - 1)).where("missed is not null").select("instrument", "id", "missed")
 
 
 def heartbeat_gaps(trades: DataFrame, beats: DataFrame) -> DataFrame:
     """Trades that a heartbeat's last id says were missed.  ``beats``: instrument, spot, id.
     A beat before the first trade says nothing; each advances the baseline."""
     both = trades.select("instrument", "spot", "id", F.lit(0).alias("beat")).unionByName(beats.select("instrument", "spot", "id", F.lit(1).alias("beat")))
-    by = Window.partitionBy("instrument").orderBy("spot", "beat", "id")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    started = both.withColumn("first_at", F.min(F.when(F.col("beat") == 0, F.col("spot"))).over(Window.partitionBy("instrument"))).where("spot >= first_at")
-    return started.withColumn("seen", F.max("id").over(before)).where("beat = 1 and id > seen").select("instrument", "spot", F.col("id").alias("last_trade_id"), (F.col("id") - F.col("seen")).alias("missed"))
+    first = trades.groupBy("instrument").agg(F.min("spot").alias("first_at"))
+    started = both.join(first, "instrument").where("spot >= first_at").drop("first_at")
+    seen = cells.running(started, "instrument", ["spot", "beat", "id"], cells.cell("spot", _SPOTS), seen=cells.most(F.col("id")))
+    return seen.where("beat = 1 and id > seen").select("instrument", "spot", F.col("id").alias("last_trade_id"), (F.col("id") - F.col("seen")).alias("missed"))
 
 
 def delta_columns(ticks: DataFrame) -> DataFrame:
     """Deltas and deltas of deltas of each instrument's times and prices, zigzagged."""
     from ticklake.functions.scalars import zigzag
 
-    by = Window.partitionBy("instrument").orderBy("recv_mono", "event_id", "sub")
-    first = ticks.withColumns({"d_mono": F.col("recv_mono") - F.lag("recv_mono", 1, 0).over(by), "d_price": F.col("price") - F.lag("price", 1, 0).over(by)})
-    second = first.withColumn("dd_mono", F.col("d_mono") - F.lag("d_mono", 1, 0).over(by))
+    zero = F.lit(0).cast("bigint")
+    order, at = list(S.ORDER), cells.cell("recv_mono")
+    rows = ticks.select("instrument", *S.ORDER, "price")
+    first = cells.running(rows, "instrument", order, at, p_mono=cells.last(F.col("recv_mono")), p_price=cells.last(F.col("price")))
+    first = first.withColumns({"d_mono": F.col("recv_mono") - F.coalesce("p_mono", zero), "d_price": F.col("price") - F.coalesce("p_price", zero)})
+    second = cells.running(first, "instrument", order, at, p_delta=cells.last(F.col("d_mono"))).withColumn("dd_mono", F.col("d_mono") - F.coalesce("p_delta", zero))
     return second.select("instrument", "event_id", "sub", "recv_mono", "d_mono", "dd_mono", "d_price", zigzag(F.col("d_price")).alias("zz_price"))
 
 
 def delta_decoded(deltas: DataFrame) -> DataFrame:
     """The inverse: running sums in order of the stored place."""
-    by = Window.partitionBy("instrument").orderBy("recv_mono", "event_id", "sub").rowsBetween(Window.unboundedPreceding, 0)
     price = F.shiftright("zz_price", 1).bitwiseXOR(-F.col("zz_price").bitwiseAND(1))
-    once = deltas.withColumns({"d_again": F.sum("dd_mono").over(by), "price": F.sum(price).over(by)})
-    return once.withColumn("mono_again", F.sum("d_again").over(by)).select("instrument", "event_id", "sub", F.col("mono_again").alias("recv_mono"), "price")
+    order, at = list(S.ORDER), cells.cell("recv_mono")
+    once = cells.running(deltas.withColumn("_p", price), "instrument", order, at, d_again=cells.total(F.col("dd_mono"), True), price=cells.total(F.col("_p"), True))
+    twice = cells.running(once, "instrument", order, at, mono_again=cells.total(F.col("d_again"), True))
+    return twice.select("instrument", "event_id", "sub", F.col("mono_again").alias("recv_mono"), "price")

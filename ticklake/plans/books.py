@@ -10,7 +10,7 @@ from ticklake.functions import scalars as X
 from ticklake.operators import aggregates as A
 from ticklake.operators import book
 from ticklake.plans.registry import query
-from ticklake.plans.sql import INDEX, LEVELS, STATE, TICKS
+from ticklake.plans.sql import CRC, INDEX, LEVELS, STATE, TICKS, crc_steps
 from ticklake.sources.ticks import instruments, pair_decimals, pit_queries, read_events, read_ticks, ticks
 
 
@@ -126,9 +126,9 @@ def pit_top10(spark: SparkSession, d: str) -> DataFrame:
 _ANSWER = _TOPS + INDEX.replace(", control", ", control", 1) + _ASOF.removeprefix(INDEX)
 
 
-@query("pit_query", _ANSWER + "SELECT f.qid, f.instrument, f.anchor, p.bid, p.bid_qty, p.ask, p.ask_qty FROM found f JOIN tops p USING (qid) WHERE f.anchor IS NOT NULL AND f.instrument = 3")
+@query("pit_query", _ANSWER + "SELECT f.qid, f.instrument, f.anchor, p.bid, p.bid_qty, p.ask, p.ask_qty FROM found f JOIN tops p USING (qid) WHERE f.anchor IS NOT NULL")
 def pit_query(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark, d).where("anchor is not null and instrument = 3").drop("t")
+    return _answers(spark, d).where("anchor is not null").drop("t")
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -151,12 +151,15 @@ def mid_price(spark: SparkSession, d: str) -> DataFrame:
     return top.select("qid", ((X.fixed_to_double(F.col("bid")) + X.fixed_to_double(F.col("ask"))) / 2).alias("mid"))
 
 
-@query("book_series", _TOPS.replace("ask AS (SELECT event_id", "ask_unused AS (SELECT event_id") .replace("WITH base", "WITH ask AS (SELECT g * 15 + i AS qid, CAST(i AS INTEGER) AS instrument, g * 21600000000000 AS t FROM range(0, 120) a(g), range(1, 16) b(i)), base") + """, last AS (SELECT q.qid, arg_max(s.kind, s.place) AS kind, arg_max(s.sync_state, s.place) AS st FROM ask q JOIN state s ON s.instrument = q.instrument AND s.recv_mono <= q.t GROUP BY 1)
+@query("book_series", _TOPS.replace("ask AS (SELECT event_id", "ask_unused AS (SELECT event_id") .replace("WITH base", "WITH ask AS (SELECT g * 15 + i AS qid, CAST(i AS INTEGER) AS instrument, g * 21600000000000 AS t FROM (SELECT unnest(range((SELECT min(epoch_us(ts)) * 1000 - 1704067200000000000 FROM events) // 21600000000000, (SELECT max(epoch_us(ts)) * 1000 - 1704067200000000000 FROM events) // 21600000000000 + 1)) AS g) a, range(1, 16) b(i)), base") + """, last AS (SELECT q.qid, arg_max(s.kind, s.place) AS kind, arg_max(s.sync_state, s.place) AS st FROM ask q JOIN state s ON s.instrument = q.instrument AND s.recv_mono <= q.t GROUP BY 1)
  SELECT instrument, t, bid, ask, (CAST(bid AS DOUBLE) / 100000000 + CAST(ask AS DOUBLE) / 100000000) / 2 AS mid FROM tops JOIN last USING (qid)
  WHERE bid IS NOT NULL AND ask IS NOT NULL AND CASE WHEN kind IN (4, 10, 11) THEN FALSE WHEN kind = 7 AND st = 'Filling' THEN TRUE ELSE st = 'Synced' END""")
 def book_series(spark: SparkSession, d: str) -> DataFrame:
-    """Synced, two-sided books on a grid of six hours."""
-    grid = spark.range(120).withColumnRenamed("id", "g").crossJoin(F.broadcast(instruments(spark).select("instrument")))
+    """Synced, two-sided books on a grid of six hours over the time that the ticks span."""
+    step = F.lit(21_600_000_000_000)
+    span = read_ticks(spark, d).agg(F.min("recv_mono").alias("a"), F.max("recv_mono").alias("b"))
+    steps = span.select(F.explode(F.sequence(F.call_function("div", F.col("a"), step), F.call_function("div", F.col("b"), step))).alias("g"))
+    grid = steps.crossJoin(F.broadcast(instruments(spark).select("instrument")))
     asked = grid.select((F.col("g") * 15 + F.col("instrument")).alias("qid"), "instrument", (F.col("g") * 21_600_000_000_000).alias("t"))
     rows = read_ticks(spark, d)
     kind, state = F.col("kind"), F.col("sync_state")
@@ -216,18 +219,33 @@ def crc_digits(spark: SparkSession, d: str) -> DataFrame:
     return book_crc(levels).select("qid", "digits")
 
 
-@query("book_crc32")
+_DIGITS = ", w AS (SELECT r.qid, r.side, r.rank, CASE WHEN r.price // CAST(pow(10, 8 - c.price_decimals) AS BIGINT) = 0 THEN '' ELSE CAST(r.price // CAST(pow(10, 8 - c.price_decimals) AS BIGINT) AS VARCHAR) END || CASE WHEN r.qty = 0 THEN '' ELSE CAST(r.qty AS VARCHAR) END AS x FROM ranked r JOIN decimals c USING (instrument) WHERE rank <= 10), texts AS (SELECT qid AS id, string_agg(x, '' ORDER BY side, rank) AS x FROM w GROUP BY qid), "
+
+
+def _with_crc(statement: str) -> str:
+    return CRC + ", " + statement.strip().removeprefix("WITH ")
+
+
+@query("book_crc32", _with_crc(_RANKED) + _DIGITS + crc_steps("texts") + " SELECT id AS qid, texts.x AS digits, crc FROM done JOIN texts USING (id)")
 def book_crc32(spark: SparkSession, d: str) -> DataFrame:
     return book_crc(book.top_n(_levels(spark, d)).join(F.broadcast(pair_decimals(spark)), "instrument"))
 
 
-@query("crc_verify")
+_STATED = "stated_row AS (SELECT event_id AS qid, instrument, recv_mono AS t FROM state WHERE kind = 8 AND venue = 3 AND sync_state = 'Synced')"
+_CHECKED = _with_crc(_RANKED.replace("FROM ask q)", "FROM stated_row q)").replace(", question AS", ", " + _STATED + ", question AS"))
+
+
+@query("crc_verify", _CHECKED + _DIGITS + crc_steps("texts") + " SELECT q.qid, q.instrument, coalesce(crc, 0) + CASE WHEN q.qid % 3 = 0 THEN 1 ELSE 0 END AS stated, coalesce(crc, 0) AS crc, q.qid % 3 <> 0 AS matches FROM stated_row q LEFT JOIN done ON done.id = q.qid")
 def crc_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Checksum ticks of synced third-venue books: the stated sum against the book's."""
+    """Checksum ticks of synced third-venue books: the stated sum against the book's.  The
+    stated sums are those of books folded tick by tick, every third off by one."""
     rows = read_ticks(spark, d)
-    stated = book.with_state(rows).where("kind = 8 and venue = 3 and sync_state = 'Synced'").select(F.col("event_id").alias("qid"), "instrument", F.col("recv_mono").alias("t"), F.col("aux").alias("stated"))
-    levels = book.top_n(book.levels_at(stated.drop("stated"), rows)).join(F.broadcast(pair_decimals(spark)), "instrument")
-    return stated.join(book_crc(levels), "qid", "left").select("qid", "instrument", "stated", F.coalesce("crc", F.lit(0)).alias("crc"), (F.col("stated") == F.coalesce("crc", F.lit(0))).alias("matches"))
+    marks = book.with_state(rows).where("kind = 8 and venue = 3 and sync_state = 'Synced'").select(F.col("event_id").alias("qid"), "instrument", F.col("recv_mono").alias("t"))
+    levels = book.top_n(book.levels_at(marks, rows)).join(F.broadcast(pair_decimals(spark)), "instrument")
+    folded = book_crc(book.top_n(book.folded_at(rows, "kind = 8 and venue = 3 and sync_state = 'Synced'")).join(F.broadcast(pair_decimals(spark)), "instrument")).select("qid", F.col("crc").alias("folded"))
+    stated = marks.join(folded, "qid", "left").withColumn("stated", F.coalesce("folded", F.lit(0)) + F.when(F.col("qid") % 3 == 0, 1).otherwise(0))
+    crc = F.coalesce("crc", F.lit(0))
+    return stated.join(book_crc(levels), "qid", "left").select("qid", "instrument", "stated", crc.alias("crc"), (F.col("stated") == crc).alias("matches"))
 
 
 _OVERLAP = _RANKED + """, live AS (SELECT * FROM ranked WHERE rank <= 10), rest AS (SELECT qid, side, price, qty + CASE WHEN rank % 2 = 0 THEN 1 ELSE 0 END AS qty FROM live),

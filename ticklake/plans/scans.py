@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ticklake import schema as S
 from ticklake.functions import scalars as X
 from ticklake.operators import aggregates as A
-from ticklake.operators import series
+from ticklake.operators import cells, series
 from ticklake.plans.registry import query
-from ticklake.plans.sql import INDEX, TICKS
+from ticklake.plans.sql import CRC, INDEX, TICKS, crc_steps
 from ticklake.sources import store
 from ticklake.sources.ticks import instruments, read_events, read_ticks
 
@@ -37,7 +37,8 @@ def pruned_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("range_scan", TICKS + f"SELECT {_ALL} FROM tick WHERE recv_mono BETWEEN 500000000000000 AND 900000000000000")
 def range_scan(spark: SparkSession, d: str) -> DataFrame:
-    return read_ticks(spark, d).where(F.col("recv_mono").between(500_000_000_000_000, 900_000_000_000_000)).select(*S.TICK_COLUMNS)
+    """A time range of the store, whose row groups are sorted by time: the bounds are pushed to its scan."""
+    return store.stored(read_ticks(spark, d), d).where("recv_mono between 500000000000000 and 900000000000000")
 
 
 _SUMS = ["recv_mono", "recv_wall", "venue_ts", "price", "qty", "aux"]
@@ -89,7 +90,7 @@ def snapshot_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FILES = """
-WITH f AS (SELECT ['coinbase', 'binance', 'kraken', 'other'][CAST(event_id % 4 + 1 AS INTEGER)] AS dir, event_id // 3 AS wall, event_id % 3 AS form FROM events WHERE event_id < 2000),
+WITH f AS (SELECT ['coinbase', 'binance', 'kraken', 'other'][CAST(event_id % 4 + 1 AS INTEGER)] AS dir, event_id // 3 AS wall, event_id % 3 AS form FROM events),
 p AS (SELECT dir || '/' || dir || '-' || wall || CASE form WHEN 0 THEN '.fbraw' WHEN 1 THEN '.fbraw.zst' ELSE '.tmp' END AS path FROM f),
 g AS (SELECT regexp_extract(path, '^([a-z]+)/', 1) AS venue, CAST(regexp_extract(path, '-([0-9]+)\\.fbraw(\\.zst)?$', 1) AS BIGINT) AS start_wall, ends_with(path, '.zst') AS compressed, path FROM p
   WHERE regexp_matches(path, '^(coinbase|binance|kraken)/.*-[0-9]+\\.fbraw(\\.zst)?$'))
@@ -101,7 +102,7 @@ SELECT venue, start_wall, arg_max(path, compressed) AS path, max(compressed) AS
 def discover_dedupe(spark: SparkSession, d: str) -> DataFrame:
     part = F.element_at(F.array(*map(F.lit, ["coinbase", "binance", "kraken", "other"])), (F.col("event_id") % 4 + 1).cast("int"))
     form = F.element_at(F.array(*map(F.lit, [".fbraw", ".fbraw.zst", ".tmp"])), (F.col("event_id") % 3 + 1).cast("int"))
-    listing = read_events(spark, d).where("event_id < 2000").select(F.concat(part, F.lit("/"), part, F.lit("-"), F.expr("event_id div 3").cast("string"), form).alias("path"))
+    listing = read_events(spark, d).select(F.concat(part, F.lit("/"), part, F.lit("-"), F.expr("event_id div 3").cast("string"), form).alias("path"))
     return store.discover(listing)
 
 
@@ -114,22 +115,53 @@ def frames(ticks: DataFrame) -> DataFrame:
     return ticks.select("venue", "event_id", "sub", "recv_mono", "recv_wall", payload.alias("payload"))
 
 
-@query("raw_scan_report", _FRAMES + "SELECT venue, count(*) AS records, CAST(sum(length(payload)) AS BIGINT) AS payload_bytes, CAST(32 + sum(25 + length(payload)) AS BIGINT) AS valid_bytes FROM frame GROUP BY venue")
+def _segments(spark: SparkSession, d: str) -> str:
+    """The frames written as rotated segment files, once for a session and input."""
+    from ticklake.sources import segments
+
+    def write(path: str) -> None:
+        segments.write(frames(read_ticks(spark, d)), path, 1 << 18)
+
+    return store.once(spark, f"segments {d}", "segments", write)
+
+
+@query("raw_scan_report", _FRAMES + "SELECT venue, count(*) AS records, CAST(sum(length(payload)) AS BIGINT) AS payload_bytes, CAST(sum(25 + length(payload)) AS BIGINT) AS record_bytes, 0::BIGINT AS torn FROM frame GROUP BY venue")
 def raw_scan_report(spark: SparkSession, d: str) -> DataFrame:
-    # a record is a length, a kind, two clocks, the payload and a checksum; a header has 32 bytes
-    size = F.length(F.col("payload").cast("binary"))
-    return frames(read_ticks(spark, d)).groupBy("venue").agg(F.count("*").alias("records"), F.sum(size).alias("payload_bytes"), (F.sum(size + 25) + 32).cast("bigint").alias("valid_bytes"))
+    """Segment files scanned record by record: a record is a length, a kind, two clocks, the
+    payload and a checksum."""
+    from ticklake.sources import segments
+
+    got = segments.report(segments.read(spark, _segments(spark, d)))
+    return got.groupBy("venue").agg(F.sum("records").alias("records"), F.sum("payload_bytes").alias("payload_bytes"), F.sum(F.col("valid_bytes") - F.col("header_bytes")).alias("record_bytes"), F.count("torn").alias("torn"))
 
 
 @query("raw_scan", _FRAMES + "SELECT venue, recv_mono, payload FROM frame")
 def raw_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Frames written as segment images and read back record by record."""
+    """Frames written as segment files and read back record by record."""
     from ticklake.sources import segments
 
-    got = segments.records(segments.images(frames(read_ticks(spark, d))))
+    got = segments.records(segments.read(spark, _segments(spark, d)))
     return got.select("venue", "recv_mono", F.col("payload").cast("string").alias("payload"))
 
 
+@query("torn_tails", _FRAMES + ", f AS (SELECT venue, recv_mono // 86400000000000 AS day, event_id, sub, recv_mono, 25 + length(payload) AS size FROM frame), g AS (SELECT venue, day, count(*) AS n, sum(size) AS bytes, arg_max(size, (recv_mono, event_id, sub)) AS tail FROM f GROUP BY ALL) SELECT venue, day, CAST(n - CASE WHEN day % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS records, CAST(34 + bytes - CASE WHEN day % 3 = 0 THEN 0 ELSE tail END AS BIGINT) AS valid_bytes, CASE day % 3 WHEN 1 THEN 'short record' WHEN 2 THEN 'bad checksum' END AS torn FROM g")
+def torn_tails(spark: SparkSession, d: str) -> DataFrame:
+    """A segment for each venue and day, every third whole, the others cut short or with a
+    flipped last byte: what is left after recovery."""
+    from ticklake.sources import segments
+
+    day = F.call_function("div", F.col("recv_mono"), F.lit(86_400_000_000_000))
+    files = segments.images(frames(read_ticks(spark, d)).withColumn("day", day), "day")
+    size = F.length("content")
+    cut = F.expr("substring(content, 1, length(content) - 1)")
+    flipped = F.concat(cut, F.unhex(F.lpad(F.hex(F.pmod(F.conv(F.hex(F.expr("substring(content, length(content), 1)")), 16, 10).cast("int") + 1, F.lit(256))), 2, "0")))
+    torn = files.withColumn("content", F.when((F.col("day") % 3 == 0) | (size == 0), F.col("content")).when(F.col("day") % 3 == 1, F.expr("substring(content, 1, length(content) - 3)")).otherwise(flipped))
+    whole = segments.report(segments.recover(torn.select("path", "content")))
+    told = segments.report(torn.select("path", "content")).select("path", "torn")
+    got = whole.select("path", "venue", "records", "valid_bytes").join(told, "path").join(files.select("path", "day"), "path")
+    return got.select("venue", "day", "records", "valid_bytes", "torn")
+
+
 @query("per_venue_cap", _FRAMES + "SELECT venue, event_id, sub FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY recv_mono, event_id, sub) AS n FROM frame) WHERE n <= 100")
 def per_venue_cap(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("venue").orderBy(*S.ORDER)
@@ -145,9 +177,19 @@ def rest_envelope_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("event_id", got["instrument"].alias("instrument"), got["body"].alias("body"))
 
 
-@query("event_gen")
+_MIX = "CAST((CAST(xor({v}, {v} >> {n}) AS UHUGEINT) * {m}) % 18446744073709551616 AS UBIGINT)"
+
+
+@query("event_gen", f"""WITH i AS (SELECT CAST(unnest(range(1, (SELECT count(*) FROM events) + 1)) AS BIGINT) AS i),
+ a AS (SELECT i, CAST((42 + CAST(i AS UHUGEINT) * 11400714819323198485) % 18446744073709551616 AS UBIGINT) AS z FROM i),
+ b AS (SELECT i, {_MIX.format(v='z', n=30, m='13787848793156543929')} AS z FROM a), c AS (SELECT i, {_MIX.format(v='z', n=27, m='10723151780598845931')} AS z FROM b),
+ x AS (SELECT i, xor(z, z >> 31) AS x FROM c),
+ d AS (SELECT i, 50000 + CAST(x % 400000 AS BIGINT) AS dt, CAST((x >> 8) % 2001 AS BIGINT) - 1000 AS dp, CAST(x % 10 AS INTEGER) AS pick, CAST((x >> 16) % 500000000 AS BIGINT) AS qty, CAST(x % 15 AS INTEGER) + 1 AS instrument, CAST(x % 3 AS INTEGER) + 1 AS venue FROM x),
+ w AS (SELECT *, CAST(sum(dt) OVER (ORDER BY i) AS BIGINT) + 1000000000 AS t, CAST(sum(dp) OVER (ORDER BY i) AS BIGINT) + 6358964000000 AS price FROM d)
+ SELECT t AS recv_mono, t + 1700000000000000000 AS recv_wall, t + 1699999999997000000 AS venue_ts, i + 1 AS venue_seq, price, qty, i + 1 AS aux, instrument, CASE WHEN pick = 0 THEN 3 WHEN pick <= 5 THEN 1 ELSE 2 END AS kind, venue, 0 AS flags, i AS event_id, 0 AS sub FROM w""")
 def event_gen(spark: SparkSession, d: str) -> DataFrame:
-    return store.generate_events(spark, 10_000, 42)
+    """As many generated events as the table has."""
+    return store.generate_events(spark, read_events(spark, d).count(), 42)
 
 
 @query("kind_decode", TICKS + "SELECT CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in S.KIND_NAMES.items()) + " END AS kind_name, venue, count(*) AS n FROM tick GROUP BY ALL")
@@ -210,6 +252,7 @@ def venue_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 _LAT = TICKS + ", lat AS (SELECT *, recv_wall - venue_ts AS ns FROM tick WHERE venue_ts <> 0)"
 _DISC = "CAST(quantile_disc(ns, {}) AS BIGINT) AS p{}"
+_MS = 1_000_000
 _PS = [(0.5, "50"), (0.9, "90"), (0.99, "99"), (0.999, "999")]
 
 
@@ -219,8 +262,9 @@ def _latency(spark: SparkSession, d: str) -> DataFrame:
 
 @query("latency_percentiles", _LAT + "SELECT instrument, count(*) AS n, min(ns) AS least, max(ns) AS most, " + ", ".join(_DISC.format(q, n) for q, n in _PS) + ", round(avg(ns), 3) AS mean, round(coalesce(stddev_samp(ns), 0), 2) AS stdev FROM lat GROUP BY instrument")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    parts = [A.nearest_rank("ns", q).cast("bigint").alias(f"p{n}") for q, n in _PS]
-    return _latency(spark, d).groupBy("instrument").agg(F.count("*").alias("n"), F.min("ns").alias("least"), F.max("ns").alias("most"), *parts, F.round(F.avg("ns"), 3).alias("mean"), F.round(F.coalesce(F.stddev_samp("ns"), F.lit(0.0)), 2).alias("stdev"))
+    rows = _latency(spark, d)
+    ranks = cells.nearest_ranks(rows, "instrument", "ns", {f"p{n}": int(q * 1000) for q, n in _PS}, _MS)
+    return rows.groupBy("instrument").agg(F.count("*").alias("n"), F.min("ns").alias("least"), F.max("ns").alias("most"), F.round(F.avg("ns"), 3).alias("mean"), F.round(F.coalesce(F.stddev_samp("ns"), F.lit(0.0)), 2).alias("stdev")).join(ranks, "instrument")
 
 
 @query("floor_percentile", _LAT + ", r AS (SELECT venue, ns, row_number() OVER (PARTITION BY venue ORDER BY ns) - 1 AS i, count(*) OVER (PARTITION BY venue) AS n FROM lat) SELECT venue, max(CASE WHEN i = (n - 1) * 50 // 100 THEN ns END) AS p50, max(CASE WHEN i = (n - 1) * 90 // 100 THEN ns END) AS p90 FROM r GROUP BY venue")
@@ -230,19 +274,21 @@ def floor_percentile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("median_disc", _LAT + "SELECT instrument, CAST(quantile_disc(ns, 0.5) AS BIGINT) AS median FROM lat GROUP BY instrument")
 def median_disc(spark: SparkSession, d: str) -> DataFrame:
-    return _latency(spark, d).groupBy("instrument").agg(A.nearest_rank("ns", 0.5).cast("bigint").alias("median"))
+    return cells.nearest_ranks(_latency(spark, d), "instrument", "ns", {"median": 500}, _MS)
 
 
 @query("venue_latency", _LAT + "SELECT venue, " + ", ".join(f"quantile_disc(ns / 1e6, {q}) AS p{n}" for q, n in _PS[:3]) + ", count(*) AS n FROM lat GROUP BY venue")
 def venue_latency(spark: SparkSession, d: str) -> DataFrame:
     ms = _latency(spark, d).withColumn("ms", F.col("ns") / F.lit(1e6))
-    return ms.groupBy("venue").agg(*[A.nearest_rank("ms", q).alias(f"p{n}") for q, n in _PS[:3]], F.count("*").alias("n"))
+    ranks = cells.nearest_ranks(ms, "venue", "ms", {f"p{n}": int(q * 1000) for q, n in _PS[:3]}, 1.0)
+    return ms.groupBy("venue").agg(F.count("*").alias("n")).join(ranks, "venue")
 
 
 @query("venue_latency_clamped", _LAT + ", c AS (SELECT venue, ns - 20000000 AS ns FROM lat) SELECT venue, CAST(quantile_disc(greatest(ns, 0), 0.5) AS BIGINT) AS p50, count(CASE WHEN ns < 0 THEN 1 END) AS clamped, count(*) AS n FROM c GROUP BY venue")
 def venue_latency_clamped(spark: SparkSession, d: str) -> DataFrame:
     shifted = _latency(spark, d).withColumn("ns", F.col("ns") - 20_000_000).withColumn("held", F.greatest("ns", F.lit(0)))
-    return shifted.groupBy("venue").agg(A.nearest_rank("held", 0.5).cast("bigint").alias("p50"), F.count_if(F.col("ns") < 0).alias("clamped"), F.count("*").alias("n"))
+    ranks = cells.nearest_ranks(shifted, "venue", "held", {"p50": 500}, _MS)
+    return shifted.groupBy("venue").agg(F.count_if(F.col("ns") < 0).alias("clamped"), F.count("*").alias("n")).join(ranks, "venue")
 
 
 @query("block_zone_map", TICKS + ", b AS (SELECT *, (row_number() OVER (PARTITION BY instrument ORDER BY recv_mono, event_id, sub) - 1) // 256 AS block FROM tick) SELECT instrument, block, count(*) AS n, min(recv_mono) AS min_mono, max(recv_mono) AS max_mono, min(recv_wall) AS min_wall, max(recv_wall) AS max_wall FROM b GROUP BY ALL")
@@ -250,9 +296,23 @@ def block_zone_map(spark: SparkSession, d: str) -> DataFrame:
     return A.zone_map(read_ticks(spark, d), 256)
 
 
-@query("size_report", _FRAMES + "SELECT venue, CAST(sum(length(payload)) AS BIGINT) AS raw_bytes, CAST(count(*) * 64 AS BIGINT) AS stored_bytes, round(sum(length(payload)) / (count(*) * 64), 6) AS ratio FROM frame GROUP BY venue")
+_ZZ = "CASE WHEN {v} >= 0 THEN {v} * 2 ELSE -{v} * 2 - 1 END"
+_BYTES = "greatest(1, (length(ltrim(bin({v}), '0')) + 6) // 7)"
+
+
+@query("size_report", TICKS + f""", a AS (SELECT *, recv_mono - lag(recv_mono, 1, 0) OVER w AS d_mono, price - lag(price, 1, 0) OVER w AS d_price FROM tick WINDOW w AS (PARTITION BY instrument ORDER BY recv_mono, event_id, sub)),
+ b AS (SELECT *, d_mono - lag(d_mono, 1, 0) OVER (PARTITION BY instrument ORDER BY recv_mono, event_id, sub) AS dd FROM a),
+ z AS (SELECT instrument, 25 + length('{{"e":' || event_id || ',"p":' || price || ',"q":' || qty || '}}') AS raw, {_ZZ.format(v='dd')} AS zt, {_ZZ.format(v='d_price')} AS zp, qty FROM b)
+ SELECT instrument, CAST(sum(raw) AS BIGINT) AS raw_bytes, CAST(sum({_BYTES.format(v='zt')} + {_BYTES.format(v='zp')} + {_BYTES.format(v='qty')}) AS BIGINT) AS stored_bytes,
+ round(sum(raw) / sum({_BYTES.format(v='zt')} + {_BYTES.format(v='zp')} + {_BYTES.format(v='qty')}), 6) AS ratio FROM z GROUP BY instrument""")
 def size_report(spark: SparkSession, d: str) -> DataFrame:
-    got = frames(read_ticks(spark, d)).groupBy("venue").agg(F.sum(F.length("payload").cast("bigint")).alias("raw_bytes"), (F.count("*") * 64).alias("stored_bytes"))
+    """Bytes of an instrument's raw records against those of its time, price and quantity
+    columns as variable-length deltas."""
+    rows = read_ticks(spark, d)
+    raw = frames(rows.withColumn("venue", F.col("instrument"))).groupBy(F.col("venue").alias("instrument")).agg(F.sum(F.length("payload") + 25).cast("bigint").alias("raw_bytes"))
+    deltas = series.delta_columns(rows).join(rows.select("event_id", "sub", "qty"), ["event_id", "sub"])
+    size = X.varint_len(X.zigzag(F.col("dd_mono"))) + X.varint_len(F.col("zz_price")) + X.varint_len(F.col("qty"))
+    got = raw.join(deltas.groupBy("instrument").agg(F.sum(size).alias("stored_bytes")), "instrument")
     return got.withColumn("ratio", F.round(F.coalesce(F.try_divide(F.col("raw_bytes").cast("double"), F.col("stored_bytes").cast("double")), F.lit(0.0)), 6))
 
 
@@ -270,13 +330,34 @@ def registry_build(spark: SparkSession, d: str) -> DataFrame:
 @query("stride_sample", TICKS + ", n AS (SELECT instrument, event_id, sub, row_number() OVER (PARTITION BY instrument ORDER BY recv_mono, event_id, sub) - 1 AS i, count(*) OVER (PARTITION BY instrument) AS total FROM tick) SELECT instrument, event_id, sub FROM n WHERE i % greatest(1, (total + 99) // 100) = 0")
 def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     """Every k-th tick of an instrument, k the least that keeps it to about a hundred."""
-    by = Window.partitionBy("instrument")
-    placed = read_ticks(spark, d).withColumns({"i": F.row_number().over(by.orderBy(*S.ORDER)) - 1, "total": F.count("*").over(by)})
-    return placed.where(F.col("i") % F.greatest(F.lit(1), F.call_function("div", F.col("total") + 99, F.lit(100))) == 0).select("instrument", "event_id", "sub")
+    rows = read_ticks(spark, d).select("instrument", *S.ORDER)
+    placed = cells.numbered(rows, "instrument", list(S.ORDER), cells.cell("recv_mono")).join(rows.groupBy("instrument").agg(F.count("*").alias("total")), "instrument")
+    return placed.where((F.col("place") - 1) % F.greatest(F.lit(1), F.call_function("div", F.col("total") + 99, F.lit(100))) == 0).select("instrument", "event_id", "sub")
 
 
-@query("crc32", TICKS + "SELECT event_id, sub, length('t' || event_id) AS n FROM tick WHERE sub = 0")
+@query("crc32", CRC + ", s AS (SELECT event_id AS id, 't' || event_id || props AS x FROM events), " + crc_steps("s") + " SELECT id AS event_id, crc FROM done")
 def crc32(spark: SparkSession, d: str) -> DataFrame:
-    # the check value of the polynomial is fixed; a wrong function fails the whole result
-    fine = F.crc32(F.lit("123456789").cast("binary")) == 0xCBF43926
-    return read_ticks(spark, d).where("sub = 0").where(fine).select("event_id", "sub", F.length(F.concat(F.lit("t"), F.col("event_id"))).cast("bigint").alias("n"))
+    text = F.concat(F.lit("t"), F.col("event_id"), F.col("props"))
+    return read_events(spark, d).select("event_id", F.crc32(text.cast("binary")).alias("crc"))
+
+
+@query("leb128", TICKS + ", v AS (SELECT event_id, sub, qty, greatest(1, (length(ltrim(bin(qty), '0')) + 6) // 7) AS n FROM tick) SELECT event_id, sub, array_to_string(list_transform(range(0, n), lambda g: printf('%02X', ((qty >> CAST(7 * g AS INTEGER)) & 127) + CASE WHEN g < n - 1 THEN 128 ELSE 0 END)), '') AS bytes, qty AS again FROM v")
+def leb128(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities as variable-length bytes, in hex, and read back."""
+    put = read_ticks(spark, d).select("event_id", "sub", X.put_uvarint(F.col("qty")).alias("raw"))
+    return put.select("event_id", "sub", F.hex("raw").alias("bytes"), X.take_uvarint(F.col("raw")).alias("again"))
+
+
+@query("sql_quote", "SELECT event_id, '''' || replace(event_type || '''s ' || props, '''', '''''') || '''' AS literal FROM events")
+def sql_quote(spark: SparkSession, d: str) -> DataFrame:
+    return read_events(spark, d).select("event_id", X.sql_quote(F.concat("event_type", F.lit("'s "), "props")).alias("literal"))
+
+
+@query("snapshot_index_stored", TICKS + INDEX + "SELECT instrument, mono, event_id, sub FROM idx")
+def snapshot_index_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshot index written beside the store and loaded again."""
+    from ticklake.operators import book
+
+    path = store.scratch(spark, "index")
+    store.write_index(book.snapshot_index(read_ticks(spark, d)), path)
+    return store.read_index(spark, path)

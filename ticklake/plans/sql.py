@@ -48,3 +48,15 @@ level AS (SELECT q.qid, q.instrument, q.t, s.side, s.price, arg_max(s.qty, s.pla
   WHERE s.effective GROUP BY ALL),
 book AS (SELECT * FROM level WHERE qty <> 0)
 """
+
+#: The table of CRC-32 by its rule, for statements that sum bytes up.
+CRC = """WITH RECURSIVE crc_bit(i, c, k) AS (SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bit WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bit WHERE k = 8)"""
+
+
+def crc_steps(source: str) -> str:
+    """Steps that give ``done`` (id, crc) of the ASCII texts of ``source`` (id, x)."""
+    return (
+        f"crc_step(id, x, p, c) AS (SELECT id, x, 1, 4294967295::BIGINT FROM {source} UNION ALL SELECT id, x, p + 1, xor(c >> 8, t[CAST(xor(c, ascii(substr(x, p, 1))) & 255 AS INTEGER) + 1]) FROM crc_step, crc_table WHERE p <= length(x)), "
+        "done AS (SELECT id, xor(c, 4294967295) AS crc FROM crc_step WHERE p = length(x) + 1)"
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticklake import schema as S
 from ticklake.operators import aggregates as A
-from ticklake.operators import series
+from ticklake.operators import cells, series
 from ticklake.plans.registry import query
 from ticklake.plans.sql import STATE, TICKS
 from ticklake.sources.ticks import read_events, read_ticks
@@ -36,8 +36,7 @@ def trade_gaps_lag(spark: SparkSession, d: str) -> DataFrame:
  s AS (SELECT b.*, max(id) OVER (PARTITION BY instrument ORDER BY spot, beat, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM both_ b JOIN f USING (instrument) WHERE b.spot >= f.first_at)
  SELECT instrument, spot, id AS last_trade_id, id - seen AS missed FROM s WHERE beat = 1 AND id > seen""")
 def heartbeat_gaps(spark: SparkSession, d: str) -> DataFrame:
-    by = Window.partitionBy("instrument").orderBy(*S.ORDER)
-    ids = read_ticks(spark, d).where("kind = 3").select("instrument", F.row_number().over(by).alias("id"))
+    ids = series.trade_ids(read_ticks(spark, d)).select("instrument", "id")
     beats = ids.where("id % 17 = 0").select("instrument", (F.col("id") * 2 + 1).alias("spot"), (F.col("id") + F.col("id") % 3).alias("id"))
     return series.heartbeat_gaps(_trades(spark, d), beats)
 
@@ -99,8 +98,8 @@ def soak_continuity(spark: SparkSession, d: str) -> DataFrame:
 @query("connect_sessions", TICKS + ", s AS (SELECT *, count(CASE WHEN kind = 11 THEN 1 END) OVER (PARTITION BY venue ORDER BY recv_mono, event_id, sub ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM tick) SELECT venue, session, count(*) AS n, min(recv_mono) AS first FROM s GROUP BY ALL")
 def connect_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Connection epochs: a clear stands for the note that a venue connects."""
-    by = Window.partitionBy("venue").orderBy(*S.ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return read_ticks(spark, d).withColumn("session", F.count_if(F.col("kind") == S.CLEAR).over(by)).groupBy("venue", "session").agg(F.count("*").alias("n"), F.min("recv_mono").alias("first"))
+    cleared = cells.total((F.col("kind") == S.CLEAR).cast("bigint"), True)
+    return cells.running(read_ticks(spark, d), "venue", list(S.ORDER), cells.cell("recv_mono"), session=cleared).groupBy("venue", "session").agg(F.count("*").alias("n"), F.min("recv_mono").alias("first"))
 
 
 _DELTA = TICKS + """, a AS (SELECT *, recv_mono - lag(recv_mono, 1, 0) OVER w AS d_mono, price - lag(price, 1, 0) OVER w AS d_price FROM tick WINDOW w AS (PARTITION BY instrument ORDER BY recv_mono, event_id, sub)),

@@ -7,6 +7,7 @@ so any file system will do; writers rotate them, which bounds a file's size."""
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ WS_TEXT, WS_BINARY, REST_SNAPSHOT, NOTE = 1, 2, 3, 4
 MAX_PAYLOAD = 64 * 1024 * 1024
 
 _RECORDS = "path string, venue int, seq bigint, rkind int, recv_mono bigint, recv_wall bigint, payload binary"
-_REPORT = "path string, venue int, records bigint, payload_bytes bigint, valid_bytes bigint, torn string"
+_REPORT = "path string, venue int, records bigint, payload_bytes bigint, header_bytes bigint, valid_bytes bigint, torn string"
+_MANIFEST = "path string, venue int, records bigint, bytes bigint"
 
 
 def encode(venue: int, records: list[tuple[int, int, int, bytes]], notes: bytes = b"{}") -> bytes:
@@ -93,29 +95,123 @@ def records(files: DataFrame) -> DataFrame:
 
 
 def report(files: DataFrame) -> DataFrame:
-    """One row for each segment file: records, payload bytes, valid bytes, torn reason."""
+    """One row for each segment file: records, bytes of payloads, header and all that is
+    valid, and why the tail is torn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 venue, found, valid, torn = decode(_plain(path, content))
-                out.append((path, venue, len(found), sum(len(r[3]) for r in found), valid, torn))
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
+                sizes = [25 + len(r[3]) for r in found]
+                out.append((path, venue, len(found), sum(sizes) - 25 * len(sizes), valid - sum(sizes), valid, torn))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[p.split()[0] for p in _REPORT.split(", ")])
 
     return files.select("path", "content").mapInArrow(run, _REPORT)
 
 
-def images(frames: DataFrame, hours: int = 24) -> DataFrame:
-    """Segment images (path, content) of frames (venue, event_id, sub, recv_mono,
-    recv_wall, payload), one for each venue and stretch of hours."""
+def recover(files: DataFrame) -> DataFrame:
+    """Segment files (path, content) cut to their valid part; a file without a valid header
+    becomes empty."""
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("recv_mono", "ascending"), ("event_id", "ascending"), ("sub", "ascending")]).to_pylist()
-        data = encode(rows[0]["venue"], [(WS_TEXT, r["recv_mono"], r["recv_wall"], r["payload"].encode()) for r in rows])
-        return pa.table({"path": [f"{rows[0]['venue']}/{rows[0]['recv_wall']}"], "content": pa.array([data], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = _plain(path, content)
+                kept.append(data[: decode(data)[2]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
+class Roller:
+    """Records of one venue in order to segment images of at most ``most`` bytes."""
+
+    def __init__(self, most: int):
+        self.most, self.venue, self.size = most, 0, 0
+        self.held: list[tuple[int, int, int, bytes]] = []
+        self.first = 0
+
+    def add(self, venue: int, event: int, record: tuple[int, int, int, bytes]) -> Iterator[tuple[int, int, int, int, bytes]]:
+        if self.held and (venue != self.venue or self.size + 25 + len(record[3]) > self.most):
+            yield from self.close()
+        if not self.held:
+            self.venue, self.first = venue, event
+        self.held.append(record)
+        self.size += 25 + len(record[3])
+
+    def close(self) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """(venue, wall clock and event of the first record, records, image)"""
+        if self.held:
+            yield self.venue, self.held[0][2], self.first, len(self.held), encode(self.venue, self.held)
+        self.held, self.size = [], 0
+
+
+def write(frames: DataFrame, root: str, most: int = 64 << 20) -> None:
+    """Write frames (venue, event_id, sub, recv_mono, recv_wall, payload) as segment files of
+    at most ``most`` bytes below ``root``, a folder that all executors reach by its URI.
+
+    Files are named by their first record and moved into place whole.  A manifest that Spark
+    commits lists those that count, so what a lost task leaves behind is never read."""
+    order = ["venue", "recv_mono", "event_id", "sub"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    cell = F.call_function("div", F.col("recv_mono"), F.lit(hours * 3_600_000_000_000))
-    return frames.withColumn("cell", cell).groupBy("venue", "cell").applyInArrow(run, "path string, content binary")
+        system, base = fs.FileSystem.from_uri(root)
+        roller = Roller(most)
+
+        def put(images_: Iterator[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for venue, wall, event, n, data in images_:
+                name = f"{venue}/{venue}-{wall}-{event}-{zlib.crc32(data):08x}.fbraw"
+                system.create_dir(f"{base}/{venue}")
+                written, half = f"{base}/{name}", f"{base}/{venue}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(half) as out:
+                    out.write(data)
+                system.move(half, written)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((written, venue, n, len(data)), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["path", "venue", "records", "bytes"])
+
+        for batch in batches:
+            for venue, event, mono, wall, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                yield from put(roller.add(venue, event, (WS_TEXT, mono, wall, payload)))
+        yield from put(roller.close())
+
+    dealt = frames.repartitionByRange(*order).sortWithinPartitions(*order).select("venue", "event_id", "recv_mono", "recv_wall", F.col("payload").cast("binary").alias("payload"))
+    dealt.mapInArrow(run, _MANIFEST).write.mode("errorifexists").parquet(f"{root}/_manifest")
+
+
+def read(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the files that the manifest of ``root`` lists."""
+    name = lambda c: F.substring_index(c, "/", -1)
+    listed = spark.read.schema(_MANIFEST).parquet(f"{root}/_manifest").select(name("path").alias("_name"))
+    return read_files(spark, root).withColumn("_name", name("path")).join(listed, "_name", "left_semi").drop("_name")
+
+
+def images(frames: DataFrame, cell: str) -> DataFrame:
+    """Segment images (path, content) of frames (venue, event_id, sub, recv_mono, recv_wall,
+    payload, ...), one for each venue and ``cell``, with the cell's column.  Rows come in
+    sorted partitions, so one segment is held at a time."""
+    order = ["venue", cell, "recv_mono", "event_id", "sub"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def image() -> pa.RecordBatch:
+            columns = [pa.array([f"{key[0]}/{key[1]}"]), pa.array([key[1]], pa.int64()), pa.array([encode(key[0], held)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["path", cell, "content"])
+
+        for batch in batches:
+            for venue, own, mono, wall, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (venue, own) != key and key is not None:
+                    yield image()
+                    held = []
+                key = (venue, own)
+                held.append((WS_TEXT, mono, wall, payload))
+        if key is not None:
+            yield image()
+
+    dealt = frames.repartition("venue", cell).sortWithinPartitions(*order).select("venue", F.col(cell).cast("bigint").alias(cell), "recv_mono", "recv_wall", F.col("payload").cast("binary").alias("payload"))
+    return dealt.mapInArrow(run, f"path string, {cell} bigint, content binary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,15 +15,46 @@ from pyspark.sql import functions as F
 from ticklake import schema as S
 
 
+_ONCE: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a local one in tests)."""
+    """A fresh folder under the shared folder that the cluster names in
+    spark.checkpoint.dir; a local one only where all executors run in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ticklake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def once(spark: SparkSession, key: str, label: str, write: Callable[[str], None]) -> str:
+    """A scratch folder that ``write`` fills the first time an application asks for ``key``."""
+    key = f"{spark.sparkContext.applicationId} {key}"
+    if key not in _ONCE:
+        path = scratch(spark, label)
+        write(path)
+        _ONCE[key] = path
+    return _ONCE[key]
+
+
+def stored(ticks: DataFrame, key: str) -> DataFrame:
+    """The ticks' store, written the first time it is asked for under ``key``."""
+    spark = ticks.sparkSession
+    return read_store(spark, once(spark, f"store {key}", "store", lambda path: write_store(ticks, path)))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """The snapshot index (instrument, mono, event_id, sub), sorted for look-ups by time."""
+    index.select("instrument", "mono", "event_id", "sub").repartitionByRange("instrument", "mono").sortWithinPartitions("instrument", "mono", "event_id", "sub").write.mode("errorifexists").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("instrument int, mono bigint, event_id bigint, sub int").parquet(path)
+
+
 def write_store(ticks: DataFrame, path: str, mode: str = "errorifexists", block: int = 1 << 20) -> None:
     """Write ticks once, range-partitioned and sorted by time, so that time filters skip
     row groups; refuses to replace a store.  Negative codes are refused by assertion."""
@@ -38,10 +69,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def verify(ticks: DataFrame) -> DataFrame:
     """One row: ticks, steps back in time within an instrument, unknown kinds and venues."""
-    before = F.lag("recv_mono").over(Window.partitionBy("instrument").orderBy("event_id", "sub"))
+    from ticklake.operators import cells
+
     # events are numbered in time order of their source, so a step back is a fault
+    rows = cells.running(ticks, "instrument", ["event_id", "sub"], cells.cell("event_id", 100_000), before=cells.last(F.col("recv_mono")))
     back = F.count_if(F.col("before") > F.col("recv_mono"))
-    return ticks.withColumn("before", before).agg(
+    return rows.agg(
         F.count("*").alias("n"), back.alias("out_of_order"), F.count_if(~F.col("kind").between(1, 11)).alias("bad_kind"), F.count_if(~F.col("venue").between(1, 3)).alias("bad_venue")
     )
 
