@@ -243,3 +243,22 @@ def chain_ticks(depth: DataFrame, verdicts: DataFrame) -> DataFrame:
     gap = gap.withColumns({"sub": F.lit(0), "kind": F.lit(S.GAP), "price": _zero(), "qty": _zero(), "aux": F.col("missed")})
     kept = told.where("verdict = 'applied'").withColumn("aux", _zero())
     return kept.unionByName(gap).drop("verdict", "missed")
+
+
+#: Messages and addresses that ask the venues for books and trades.
+_SUBSCRIBE = {
+    1: ['{"type":"subscribe","product_ids":[<ids>],"channels":["level2_batch","matches","heartbeat"]}'],
+    2: ["wss://stream.binance.com:9443/stream?streams=<streams>"],
+    3: ['{"method":"subscribe","params":{"channel":"book","symbol":[<ids>],"depth":100}}', '{"method":"subscribe","params":{"channel":"trade","symbol":[<ids>],"snapshot":false}}'],
+}
+
+
+def subscriptions(dim: DataFrame) -> DataFrame:
+    """(venue, place, message) for the symbols of each venue, in the registry's order."""
+    symbols = dim.groupBy("venue").agg(F.transform(F.sort_array(F.collect_list(F.struct("instrument", "venue_symbol"))), lambda x: x["venue_symbol"]).alias("symbols"))
+    ids = F.array_join(F.transform("symbols", lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ",")
+    streams = F.array_join(F.transform("symbols", lambda s: F.concat(F.lower(s), F.lit("@depth@100ms/"), F.lower(s), F.lit("@trade"))), "/")
+    forms = F.create_map(*[x for venue, texts in _SUBSCRIBE.items() for x in (F.lit(venue), F.array(*map(F.lit, texts)))])
+    each = symbols.select("venue", "symbols", F.posexplode(forms[F.col("venue")]).alias("place", "form"))
+    message = F.replace(F.replace(F.col("form"), F.lit("<ids>"), ids), F.lit("<streams>"), streams)
+    return each.select("venue", (F.col("place") + 1).alias("place"), message.alias("message"))

@@ -202,11 +202,28 @@ def codec_errors(spark: SparkSession, d: str) -> DataFrame:
     return frames.join(parsed, "frame_id", "left").groupBy("instrument").agg(F.count("*").alias("frames"), F.count_if(F.col("fine").isNull()).alias("errors"))
 
 
-@query("depth_chain")
-def depth_chain(spark: SparkSession, d: str) -> DataFrame:
+def chain_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Update frames of the second venue: ids that overlap, and snapshots at times."""
     rows = read_ticks(spark, d).where("venue = 2 and sub = 0 and kind in (1, 2, 4)")
     diffs = rows.select("instrument", F.col("event_id").alias("frame_id"), (F.col("kind") == 4).alias("snapshot"), (F.col("event_id") - F.col("event_id") % 40).alias("first_u"), F.col("event_id").alias("final_u"))
-    return codecs.depth_chain(diffs)
+    return diffs
+
+
+@query("depth_chain")
+def depth_chain(spark: SparkSession, d: str) -> DataFrame:
+    return codecs.depth_chain(chain_diffs(spark, d))
+
+
+_IDS = "string_agg('\"' || venue_symbol || '\"', ',' ORDER BY instrument)"
+
+
+@query("subscriptions", TICKS + f"""SELECT 1 AS venue, 1 AS place, '{{"type":"subscribe","product_ids":[' || {_IDS} || '],"channels":["level2_batch","matches","heartbeat"]}}' AS message FROM inst WHERE venue = 1
+ UNION ALL SELECT 2, 1, 'wss://stream.binance.com:9443/stream?streams=' || string_agg(lower(venue_symbol) || '@depth@100ms/' || lower(venue_symbol) || '@trade', '/' ORDER BY instrument) FROM inst WHERE venue = 2
+ UNION ALL SELECT 3, 1, '{{"method":"subscribe","params":{{"channel":"book","symbol":[' || {_IDS} || '],"depth":100}}}}' FROM inst WHERE venue = 3
+ UNION ALL SELECT 3, 2, '{{"method":"subscribe","params":{{"channel":"trade","symbol":[' || {_IDS} || '],"snapshot":false}}}}' FROM inst WHERE venue = 3""")
+def subscriptions(spark: SparkSession, d: str) -> DataFrame:
+    """What each venue is asked for: messages, and for the second venue the address itself."""
+    return codecs.subscriptions(instruments(spark))
 
 
 _SYMBOLS = TICKS + ", named AS (SELECT t.event_id, t.sub, t.venue, CASE WHEN t.event_id % 19 = 0 THEN 'NEW-COIN' ELSE i.venue_symbol END AS venue_symbol FROM tick t JOIN inst i USING (instrument)) "

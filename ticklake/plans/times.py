@@ -170,7 +170,7 @@ def stream_trade_gaps(spark: SparkSession, d: str) -> DataFrame:
     from ticklake.streaming import stateful
 
     path = scratch(spark, "trades")
-    _trades(spark, d).select("instrument", "spot", "id").coalesce(1).write.parquet(path)
+    stateful.drops(_trades(spark, d).select("instrument", "spot", "id"), path, "spot")
     return stateful.drain(spark, path, "instrument int, spot bigint, id bigint", stateful.trade_gaps)
 
 
@@ -182,8 +182,58 @@ def stream_book_tops(spark: SparkSession, d: str) -> DataFrame:
     from ticklake.streaming import stateful
 
     path = scratch(spark, "ticks")
-    read_ticks(spark, d).coalesce(1).write.parquet(path)
-    return stateful.drain(spark, path, S.TICK, stateful.book_tops)
+    stateful.drops(read_ticks(spark, d), path, "recv_mono")
+    # each batch tells an instrument's best prices; the last word counts
+    told = stateful.drain(spark, path, S.TICK, stateful.book_tops)
+    return A.last_row(told.withColumn("at", F.col("recv_mono")), ["instrument"], "at").select("instrument", "recv_mono", "bid", "ask")
+
+
+@query("stream_depth_chain")
+def stream_depth_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The update chain over a stream, with the gaps that ask for a new snapshot."""
+    from ticklake.plans.codecs import chain_diffs
+    from ticklake.sources.store import scratch
+    from ticklake.streaming import stateful
+
+    path = scratch(spark, "diffs")
+    stateful.drops(chain_diffs(spark, d), path, "frame_id")
+    return stateful.drain(spark, path, "instrument int, frame_id bigint, snapshot boolean, first_u bigint, final_u bigint", stateful.depth_chain)
+
+
+_PAIRS = "SELECT a.event_id AS id_a, b.event_id AS id_b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR"
+
+
+@query("stream_pairs", _PAIRS)
+def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Views and the purchases of the same user in the hour after, by a stream-stream join."""
+    from ticklake.sources.store import scratch
+    from ticklake.streaming import counts, stateful
+
+    path = scratch(spark, "pairs")
+    rows = read_events(spark, d).where("event_type in ('view', 'purchase')").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "view").alias("first"))
+    rows.repartitionByRange("at").write.parquet(path)
+
+    def pairs(stream: DataFrame) -> DataFrame:
+        return counts.matched(stream.where("first"), stream.where("not first"), "1 hour").select("id_a", "id_b")
+
+    return stateful.drain(spark, path, "key bigint, id bigint, at timestamp, first boolean", pairs)
+
+
+@query("sliding_counts", "SELECT epoch_us(s) AS start_us, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts)]) AS s FROM events) GROUP BY ALL")
+def sliding_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events of every hour that begins at a quarter."""
+    start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', w.start)")
+    return read_events(spark, d).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n")).select(start.alias("start_us"), "n")
+
+
+@query("stats_jsonl", _LINES + "SELECT CAST(venue AS VARCHAR) AS venue, hour, msgs, gaps FROM line UNION ALL SELECT 'total', hour, CAST(sum(msgs) AS BIGINT), CAST(sum(gaps) AS BIGINT) FROM line GROUP BY hour")
+def stats_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """The stats lines written as JSON lines and read back."""
+    from ticklake.sources.store import scratch
+
+    path = scratch(spark, "stats")
+    stats_lines(spark, d).write.mode("errorifexists").json(path)
+    return spark.read.schema("venue string, hour bigint, msgs bigint, gaps bigint").json(path)
 
 
 @query("ring_lag_model", TICKS + ", h AS (SELECT instrument, count(*) AS head FROM tick GROUP BY instrument) SELECT instrument, head, CASE WHEN head > 64 THEN greatest(1, head - 64 - 10) ELSE 0 END AS lost, head - 10 AS lag FROM h")
