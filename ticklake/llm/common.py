@@ -19,21 +19,30 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables: the one that the cluster names, or a local
+    one where all executors run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ticklake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that ``cleanup`` deletes."""
+    path = f"{shared_dir(spark)}/ticklake-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here,
     and a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ticklake-{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -140,7 +140,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     Two documents link if their word n-gram sets (``n`` words; shorter texts: one gram of
     all words) have a Jaccard similarity of ``threshold`` or more.  Null texts and texts
     without a word link with nothing and are their own class.  Rows that repeat a doc_id
-    are separate documents; an empty table gives no rows."""
+    are separate documents; a null doc_id is never the smallest where another is there; a
+    similarity that equals the threshold links; very long texts are signed and verified
+    whole; other columns are not read; an empty table gives no rows."""
     signed, members = _members(docs, threshold, n, recall)
     heads = table(members.groupBy("component").agg(F.min("least").alias("class_id")), "heads")
     labels = table(members.join(heads, "component").select("key", "class_id", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
@@ -222,4 +224,5 @@ def _members(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its class and its number of links."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

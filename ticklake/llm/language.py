@@ -113,8 +113,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score (0 to 1), rejected.
-    ``und`` with score 0 if the text is null or has no letter, or nothing was learned;
-    rows that repeat a doc_id are judged each; an empty table gives no rows."""
+    ``und`` with score 0 if the text is null or has no letter, or nothing was learned; of
+    languages that are equally near the first by name wins; rows that repeat a doc_id are
+    judged each; very long texts are counted by pieces; other columns are not read; an empty
+    table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,5 +135,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, learned from its other rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs))

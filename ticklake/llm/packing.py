@@ -74,8 +74,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
 
     Every id lies in one piece; sequences are full but for the last of each range
     partition, which is padded to the next power of two.  Null text counts as empty
-    and gives the end id alone; rows that repeat a doc_id are separate documents; an
-    empty table gives no rows."""
+    and gives the end id alone; rows that repeat a doc_id are separate documents; documents
+    of one place on the curve come in the order of a hash of their ids and then their doc_id;
+    very long texts are encoded by slices; other columns are not read; an empty table gives
+    no rows."""
     tokenizer = tokenizer or default_path()
     parts = parts_for(docs)
 
@@ -123,8 +125,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` in sequences of at most 1024 tokens."""
     return digest(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with the unsigned crc32 of their ids in place of the ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -111,7 +111,7 @@ def fit(described: DataFrame, labels: DataFrame) -> Model | None:
     A document with several labels counts with their mean; None without labels."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
     joined = described.where("not held_out").join(y, "doc_id").select("x", "y", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("calibrates"))
-    train = table(joined.repartition(SUMS), "labelled")
+    train = table(joined, "labelled")
     total = train.select("y", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
     if not total:
         return None
@@ -119,8 +119,9 @@ def fit(described: DataFrame, labels: DataFrame) -> Model | None:
     rest = F.lit(True) if total[0].n < 20 else ~F.col("calibrates")  # a handful of labels serves for both
     held = F.lit(True) if total[0].n < 20 else F.col("calibrates")
 
+    size = FEATURES + STATISTICS + 1
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = FEATURES + STATISTICS + 1
         gram, right = np.zeros((size, size)), np.zeros(size)
         for batch in batches:
             if batch.num_rows:
@@ -129,7 +130,16 @@ def fit(described: DataFrame, labels: DataFrame) -> Model | None:
                 right += z.T @ np.array(batch.column(1).to_pylist(), np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["gram", "right"])
 
-    got = train.where(rest).select("x", "y").mapInArrow(sums, "gram binary, right binary").toLocalIterator()
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, right = np.zeros(size * size), np.zeros(size)
+        for batch in batches:
+            for g, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gram += np.frombuffer(g)
+                right += np.frombuffer(r)
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["gram", "right"])
+
+    # each partition gives one sum; these are summed again, so that few reach the driver
+    got = train.where(rest).select("x", "y").mapInArrow(sums, "gram binary, right binary").repartition(SUMS).mapInArrow(together, "gram binary, right binary").toLocalIterator()
     gram, right = np.zeros((FEATURES + STATISTICS + 1,) * 2), np.zeros(FEATURES + STATISTICS + 1)
     for r in got:
         gram += np.frombuffer(r.gram).reshape(gram.shape)
@@ -152,7 +162,9 @@ def fit(described: DataFrame, labels: DataFrame) -> Model | None:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """One row for each document: doc_id, held_out, score (0 to 1), predicted (1 if score
     >= ``threshold``).  Null texts are scored as empty ones; without any label every score
-    is 0.5; rows that repeat a doc_id are scored each; an empty table gives no rows."""
+    is 0.5; a document of several labels counts with their mean; equal texts score alike;
+    rows that repeat a doc_id are scored each; very long texts are read whole, one at a time;
+    other columns are not read; an empty table gives no rows."""
     described = describe(docs)
     model = fit(described, labels)
 
@@ -166,4 +178,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``, scored by a model of its labelled rows."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

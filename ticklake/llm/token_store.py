@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.llm import pfor
-from ticklake.llm.common import documents, rows, shared_dir
+from ticklake.llm.common import documents, fresh, rows
 from ticklake.llm.tokens import default_path, encoder
 
 CHUNK_IDS = 1 << 19
@@ -43,7 +43,9 @@ def parts_for(df: DataFrame, least: int = 2) -> int:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, chunk_ids: int = CHUNK_IDS) -> None:
     """Encode every whole text (null: empty), append ``end_id`` and write the ids in
     ascending doc_id order to ``path``.  Rows that repeat a doc_id are separate
-    documents, ordered by their text; a null doc_id comes first."""
+    documents, ordered by a hash of their text and then the text; a null doc_id comes first.
+    Very long texts are encoded by slices; other columns are not read; an empty table gives
+    a store without chunks."""
     tokenizer = tokenizer or default_path()
     ranged = documents(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(parts_for(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
@@ -81,7 +83,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Rows doc_id, start (ids of all documents before it), n_tokens and ``ids``
-    (array of long), or with ``digest`` the ids' unsigned crc32 as ``ids_crc32``."""
+    (array of long), or with ``digest`` the ids' unsigned crc32 as ``ids_crc32``; no rows
+    from a store without chunks."""
     chunks = spark.read.schema(_CHUNKS).parquet(path)
     # one row for each part, so the running sum is over a table as small as the number of parts
     totals = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -101,8 +104,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/ticklake-tokens-{uuid.uuid4().hex}"
+    """Every whole text of ``documents`` written as chunks and read back, as digests."""
+    path = fresh(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read_tokens(spark, path, digest=True)

@@ -285,8 +285,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths.  Equal vectors are compared once and
-    counted each; rows that repeat a vec_id are separate vectors; an empty table gives
-    no rows."""
+    counted each; rows that repeat a vec_id are separate vectors; neighbours of equal
+    similarity come into a list by their number, and a list whose last entry still links is
+    never trusted to hold all; other columns are not read; an empty table gives no rows."""
     spark = vectors.sparkSession
     prepare(spark)
     narrow = isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
@@ -335,4 +336,5 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Every row of ``embeddings`` with its links and its component."""
+    return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("audited_recall")
