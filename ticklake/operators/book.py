@@ -115,8 +115,9 @@ def top_n(levels: DataFrame, n: int = 10) -> DataFrame:
 _FOLD = "instrument int, epoch bigint, recv_mono bigint, event_id bigint, sub int, bid bigint, bid_qty bigint, ask bigint, ask_qty bigint, bid_depth int, ask_depth int, top_changed boolean"
 
 
-def fold(ticks: DataFrame, cap: int | None = None) -> DataFrame:
-    """The book after every effective tick, by an ordered fold of each level epoch.
+def fold(ticks: DataFrame, cap: int | dict[int, int] | None = None) -> DataFrame:
+    """The book after every effective tick, by an ordered fold of each level epoch.  ``cap``:
+    levels a side holds at most, for all or by venue; beyond it the worst goes.
 
     Epochs begin with an empty book, so they are independent, with a depth cap too: the
     rows are dealt by (instrument, epoch) and no instrument is one task."""
@@ -128,7 +129,7 @@ def fold(ticks: DataFrame, cap: int | None = None) -> DataFrame:
         key, books, best = None, {}, {}
         for batch in batches:
             out = []
-            for instrument, epoch, kind, s, price, qty, mono, event, sub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for instrument, epoch, kind, s, price, qty, mono, event, sub, venue in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (instrument, epoch) != key:
                     key, books, best = (instrument, epoch), {"B": {}, "A": {}}, {"B": None, "A": None}
                 levels, pick = books[s], max if s == "B" else min
@@ -136,7 +137,8 @@ def fold(ticks: DataFrame, cap: int | None = None) -> DataFrame:
                     levels.pop(price, None)
                 else:
                     levels[price] = qty
-                    if cap is not None and len(levels) > cap:
+                    most = cap.get(venue) if isinstance(cap, dict) else cap
+                    if most is not None and len(levels) > most:
                         del levels[min(levels) if s == "B" else max(levels)]
                 top = pick(levels) if levels else None
                 now = None if top is None else (top, levels[top])
@@ -146,7 +148,7 @@ def fold(ticks: DataFrame, cap: int | None = None) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    moves = with_state(ticks).where("effective").select("instrument", "epoch", "kind", side().alias("side"), "price", "qty", *S.ORDER)
+    moves = with_state(ticks).where("effective").select("instrument", "epoch", "kind", side().alias("side"), "price", "qty", *S.ORDER, "venue")
     return moves.repartition("instrument", "epoch").sortWithinPartitions("instrument", "epoch", *S.ORDER).mapInArrow(run, _FOLD)
 
 

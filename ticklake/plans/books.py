@@ -161,7 +161,11 @@ def book_series(spark: SparkSession, d: str) -> DataFrame:
     steps = span.select(F.explode(F.sequence(F.call_function("div", F.col("a"), step), F.call_function("div", F.col("b"), step))).alias("g"))
     grid = steps.crossJoin(F.broadcast(instruments(spark).select("instrument")))
     asked = grid.select((F.col("g") * 15 + F.col("instrument")).alias("qid"), "instrument", (F.col("g") * 21_600_000_000_000).alias("t"))
-    rows = read_ticks(spark, d)
+    return _series(read_ticks(spark, d), asked)
+
+
+def _series(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Best prices and mid of books that are synced and two-sided when they are asked for."""
     kind, state = F.col("kind"), F.col("sync_state")
     after = F.when(kind.isin(S.SNAP_BEGIN, S.GAP, S.CLEAR), False).when((kind == S.SNAP_END) & (state == "Filling"), True).otherwise(state == "Synced")
     synced = book.asof(asked, book.with_state(rows).withColumn("after", after), "recv_mono", ["event_id", "sub"], F.col("after")).where("found").select("qid")
@@ -169,6 +173,25 @@ def book_series(spark: SparkSession, d: str) -> DataFrame:
     return top.select("instrument", "t", "bid", "ask", ((X.fixed_to_double(F.col("bid")) + X.fixed_to_double(F.col("ask"))) / 2).alias("mid"))
 
 
+_BOUNDS = "SELECT max(w) - 1704067200000000000 AS last, greatest(min(w), max(w) - 86400000000000) - 1704067200000000000 AS first FROM (SELECT epoch_us(ts) * 1000 AS w FROM events)"
+_GRID = f"WITH span AS ({_BOUNDS}), stepped AS (SELECT first, last, greatest(10, ((last - first + 999999999) // 1000000000 + 1999) // 2000) * 1000000000 AS step FROM span), ask AS (SELECT k * 15 + i AS qid, CAST(i AS INTEGER) AS instrument, first + k * step AS t FROM (SELECT *, unnest(range(0, (last - first) // step + 1)) AS k FROM stepped) a, range(1, 16) b(i)), base"
+_SERIES_END = """, last AS (SELECT q.qid, arg_max(s.kind, s.place) AS kind, arg_max(s.sync_state, s.place) AS st FROM ask q JOIN state s ON s.instrument = q.instrument AND s.recv_mono <= q.t GROUP BY 1)
+ SELECT instrument, t, bid, ask, (CAST(bid AS DOUBLE) / 100000000 + CAST(ask AS DOUBLE) / 100000000) / 2 AS mid FROM tops JOIN last USING (qid)
+ WHERE bid IS NOT NULL AND ask IS NOT NULL AND CASE WHEN kind IN (4, 10, 11) THEN FALSE WHEN kind = 7 AND st = 'Filling' THEN TRUE ELSE st = 'Synced' END"""
+
+
+@query("book_window", _TOPS.replace("ask AS (SELECT event_id", "ask_unused AS (SELECT event_id").replace("WITH base", _GRID) + _SERIES_END)
+def book_window(spark: SparkSession, d: str) -> DataFrame:
+    """Synced, two-sided books over the last day, by a step that gives at most 2000 points."""
+    rows = read_ticks(spark, d)
+    span = rows.agg(F.max("recv_mono").alias("b"), F.greatest(F.min("recv_mono"), F.max("recv_mono") - 86_400_000_000_000).alias("a"))
+    seconds = F.call_function("div", F.col("b") - F.col("a") + 999_999_999, F.lit(1_000_000_000))
+    step = F.greatest(F.lit(10).cast("bigint"), F.call_function("div", seconds + 1999, F.lit(2000))) * 1_000_000_000
+    points = span.select(F.posexplode(F.sequence("a", "b", step)).alias("k", "t"))
+    asked = points.crossJoin(F.broadcast(instruments(spark).select("instrument"))).select((F.col("k") * 15 + F.col("instrument")).cast("bigint").alias("qid"), "instrument", "t")
+    return _series(rows, asked)
+
+
 _FINAL = STATE + """, last AS (SELECT instrument, max(epoch) AS epoch FROM state GROUP BY 1), final AS (SELECT s.instrument, s.side, s.price, arg_max(s.qty, s.place) AS qty FROM state s JOIN last l USING (instrument, epoch) WHERE s.effective GROUP BY ALL HAVING arg_max(s.qty, s.place) <> 0) """
 
 
@@ -195,6 +218,12 @@ def capped_book(spark: SparkSession, d: str) -> DataFrame:
     return book.fold(read_ticks(spark, d), cap=3)
 
 
+@query("venue_capped_book")
+def venue_capped_book(spark: SparkSession, d: str) -> DataFrame:
+    """Books of which the second venue's hold two levels a side and the third's four."""
+    return book.fold(read_ticks(spark, d), cap={2: 2, 3: 4})
+
+
 @query("event_digest")
 def event_digest(spark: SparkSession, d: str) -> DataFrame:
     return book.stream_digest(read_ticks(spark, d))
@@ -281,3 +310,19 @@ def crossval_summary(spark: SparkSession, d: str) -> DataFrame:
         return F.min(F.when(F.col("upto") > F.call_function("div", (F.col("n") - 1) * p, F.lit(100)), F.col("exact_pct")))
 
     return ranked.agg(at(50).alias("p50"), at(90).alias("p90"), F.min("exact_pct").alias("worst"), F.max("n").alias("scored"))
+
+
+@query("dataset_export", TICKS + """SELECT 'ticks' AS name, count(*) AS rows FROM tick UNION ALL SELECT 'instruments', count(*) FROM inst UNION ALL SELECT 'decimals', count(*) FROM decimals
+ UNION ALL SELECT 'venues', count(DISTINCT venue) FROM tick UNION ALL SELECT 'days', count(*) FROM (SELECT DISTINCT instrument, recv_mono // 86400000000000 FROM tick)""")
+def dataset_export(spark: SparkSession, d: str) -> DataFrame:
+    """Tables for a reader outside, each a folder of JSON lines, and the rows read back from
+    them: ticks, the registry, decimals, venue totals and daily sums."""
+    from ticklake.sources.store import export, scratch
+
+    rows = read_ticks(spark, d)
+    day = F.call_function("div", F.col("recv_mono"), F.lit(86_400_000_000_000))
+    tables = {
+        "ticks": rows, "instruments": instruments(spark), "decimals": pair_decimals(spark), "venues": rows.groupBy("venue").agg(F.count("*").alias("n")),
+        "days": rows.groupBy("instrument", day.alias("day")).agg(F.count("*").alias("n"), A.wide_sum("qty").alias("qty")),
+    }
+    return export(tables, scratch(spark, "export"))

@@ -335,6 +335,20 @@ def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     return placed.where((F.col("place") - 1) % F.greatest(F.lit(1), F.call_function("div", F.col("total") + 99, F.lit(100))) == 0).select("instrument", "event_id", "sub")
 
 
+_HALVED = "CASE WHEN (total + 98) // 99 <= 1 THEN 1 ELSE 1 << length(ltrim(bin((total + 98) // 99 - 1), '0')) END"
+
+
+@query("halving_sample", TICKS + f", n AS (SELECT instrument, event_id, sub, row_number() OVER (PARTITION BY instrument ORDER BY recv_mono, event_id, sub) - 1 AS i, count(*) OVER (PARTITION BY instrument) AS total FROM tick) SELECT instrument, event_id, sub FROM n WHERE i % ({_HALVED}) = 0")
+def halving_sample(spark: SparkSession, d: str) -> DataFrame:
+    """What a sampler keeps of each instrument that drops every second sample and doubles its
+    stride whenever it holds a hundred: the stride is a function of the count."""
+    rows = read_ticks(spark, d).select("instrument", *S.ORDER)
+    placed = cells.numbered(rows, "instrument", list(S.ORDER), cells.cell("recv_mono")).join(rows.groupBy("instrument").agg(F.count("*").alias("total")), "instrument")
+    full = F.call_function("div", F.col("total") + 98, F.lit(99))
+    stride = F.when(full <= 1, F.lit(1).cast("bigint")).otherwise(F.expr("shiftleft(1L, length(bin(((total + 98) div 99) - 1)))"))
+    return placed.where((F.col("place") - 1) % stride == 0).select("instrument", "event_id", "sub")
+
+
 @query("crc32", CRC + ", s AS (SELECT event_id AS id, 't' || event_id || props AS x FROM events), " + crc_steps("s") + " SELECT id AS event_id, crc FROM done")
 def crc32(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("t"), F.col("event_id"), F.col("props"))

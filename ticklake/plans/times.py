@@ -254,3 +254,20 @@ def stamp_interval_join(spark: SparkSession, d: str) -> DataFrame:
     right = rows.where("kind = 2").select("instrument", F.col("recv_mono").alias("mono2"), place.alias("cell"))
     met = left.join(right, ["instrument", "cell"], "left").withColumn("hit", F.coalesce(F.col("mono2").between(F.col("recv_mono"), F.col("recv_mono") + cell), F.lit(False)))
     return met.groupBy("instrument", "event_id").agg(F.count_if("hit").alias("matched"))
+
+
+_STAMPS = ", d AS (SELECT instrument, event_id, sub, recv_mono AS t0, recv_mono + 1000000 AS t3, recv_mono + (recv_wall - venue_ts) // 1000000 * 30000 AS t2, event_id % 9 = 0 AS lost FROM tick)"
+
+
+@query("stamp_match", TICKS + _STAMPS + ", m AS (SELECT instrument, CASE WHEN NOT lost AND t2 <= t3 + 1000000 THEN greatest(t3 - t2, 0) END AS deliver FROM d) SELECT instrument, count(deliver) AS matched, count(*) - count(deliver) AS unmatched, CAST(sum(deliver) AS BIGINT) AS deliver_ns FROM m GROUP BY instrument")
+def stamp_match(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries and the stamps of their publication, some of which never come: a stamp
+    counts if it comes at most a millisecond after the delivery."""
+    rows = read_ticks(spark, d)
+    key = ["instrument", "event_id", "sub"]
+    delivered = rows.select(*key, (F.col("recv_mono") + 1_000_000).alias("t3"))
+    k = F.call_function("div", F.col("recv_wall") - F.col("venue_ts"), F.lit(1_000_000))
+    stamps = rows.where("event_id % 9 <> 0").select(*key, (F.col("recv_mono") + k * 30_000).alias("t2"))
+    met = delivered.join(stamps, key, "left")
+    deliver = F.when(F.col("t2") <= F.col("t3") + 1_000_000, F.greatest(F.col("t3") - F.col("t2"), F.lit(0)))
+    return met.groupBy("instrument").agg(F.count(deliver).alias("matched"), (F.count("*") - F.count(deliver)).alias("unmatched"), F.sum(deliver).alias("deliver_ns"))

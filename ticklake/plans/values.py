@@ -156,3 +156,13 @@ def bench_rows(spark: SparkSession, d: str) -> DataFrame:
 def bench_sections(spark: SparkSession, d: str) -> DataFrame:
     ids = F.array_join(F.sort_array(F.collect_list("event_id")), ",")
     return bench_rows(spark, d).groupBy("section").agg(F.min("event_id").alias("first"), F.count("*").alias("n"), ids.alias("ids"))
+
+
+@query("sql_functions", TICKS + "SELECT event_id, sub, price / 1e8 AS price, CASE WHEN kind IN (1, 5) THEN 'B' WHEN kind IN (2, 6) THEN 'A' END AS side, kind IN (1, 2, 4, 5, 6, 7, 11) AS book, CASE WHEN price - 100100000000 >= 0 THEN (price - 100100000000) * 2 ELSE -(price - 100100000000) * 2 - 1 END AS z, price - 100100000000 AS again FROM tick")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The scalar functions as the session's SQL knows them."""
+    from ticklake.functions.register import register
+
+    register(spark)
+    rows = read_ticks(spark, d)
+    return spark.sql("SELECT event_id, sub, fixed_to_double(price) AS price, tick_side(kind) AS side, is_book(kind) AS book, zigzag(price - 100100000000) AS z, unzigzag(zigzag(price - 100100000000)) AS again FROM {rows}", rows=rows)

@@ -67,6 +67,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.TICK).parquet(path)
 
 
+def export(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Write each table as JSON lines to its folder of ``path``, which must be new; the name
+    and the number of rows of each, read back."""
+    found = []
+    for name, table in tables.items():
+        table.write.mode("errorifexists").json(f"{path}/{name}")
+        found.append(table.sparkSession.read.schema(table.schema).json(f"{path}/{name}").groupBy().agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def verify(ticks: DataFrame) -> DataFrame:
     """One row: ticks, steps back in time within an instrument, unknown kinds and venues."""
     from ticklake.operators import cells
