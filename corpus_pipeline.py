@@ -41,16 +41,15 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id, and then text hash,
     stays (a null doc_id comes last); rows without a word are in no group and all stay, and
-    so do rows that merely share a doc_id."""
-    given = docs.select(*COLUMNS).withColumns({"text_hash": F.sha2("text", 256), "class_row": jaccard.class_key(F.col("text"))})
-    classes = jaccard.class_labels(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    first = given.where("class_row is not null").groupBy("class_row").agg(F.min(place).alias("first")).join(classes, F.col("class_row") == F.col("key"))
-    first = first.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    kept = given.where("class_row is not null").join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")), "left_semi")
+    so do rows that merely share a doc_id.  Other columns of ``docs`` go; an empty table
+    gives no rows."""
+    given = docs.select(*COLUMNS).withColumn("text_hash", F.unhex(F.sha2("text", 256)))
+    # a letter, mark or number somewhere: the documents that are in a group
+    worded = F.coalesce(F.col("text").rlike(r"[\p{L}\p{M}\p{N}]"), F.lit(False))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     # rows left with one doc_id and one text are copies of one class
-    kept = kept.dropDuplicates(["doc_id", "text_hash"])
-    return kept.unionByName(given.where("class_row is null")).select(*COLUMNS)
+    kept = given.where(worded).join(jaccard.firsts(docs), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.unionByName(given.where(~worded)).select(*COLUMNS)
 
 
 #: Bytes of a repeated string that the pipeline cuts: a passage of 50 words is seldom shorter.
