@@ -8,6 +8,8 @@ n-gram indicators.  No pair is ever a row: a tile gives link counts, and a star
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +36,25 @@ def bands_for(threshold: float, recall: float, max_hashes: int = 192) -> tuple[i
     raise ValueError("no banding reaches this recall")
 
 
-def folded(text):
-    """Lower-case words (letters, marks, digits) joined by one space; null gives ''."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
+_BLANK = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
+_KEPT: list[np.ndarray] = []
 
 
-def class_key(text):
-    """Key of the class of equal word sequences that a text is in; null without a word."""
-    norm = folded(text)
-    return F.when(norm != "", F.unhex(F.md5(norm)))
+def _word_characters() -> np.ndarray:
+    """Whether each code point is a letter, mark or number."""
+    if not _KEPT:
+        _KEPT.append(np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(0x110000)]))
+    return _KEPT[0]
+
+
+def folded(text: str | None) -> str:
+    """Lower-case words (letters, marks, numbers) joined by one space; null gives ''."""
+    low = (text or "").lower()
+    if low.isascii():
+        return b" ".join(low.encode().translate(_BLANK).split()).decode()
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+    plain = np.where(_word_characters()[codes], codes, 32).astype("<u4")
+    return " ".join(plain.tobytes().decode("utf-32-le", "surrogatepass").split())
 
 
 def _edges(norm: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +161,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     return signed.select("doc_id", "key").join(labels, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def class_labels(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """(key, component): for each ``class_key`` of the texts its component by the links of
-    ``near_duplicates``, whatever the doc_ids are."""
-    return _members(docs, threshold, n, recall)[1].select("key", "component")
+def firsts(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """(first_id, first_hash): of each group of near-duplicates the row with the smallest
+    doc_id (null last) and then sha-256 of its text; documents without a word are in no group."""
+    signed, members = _members(docs, threshold, n, recall)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    least = signed.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
+    first = least.join(members.select("key", "component"), "key").groupBy("component").agg(F.min("first").alias("first"))
+    return first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
 
 
 def _members(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key, bands), and classes (key, least, copies, component, w)."""
+    """Rows (doc_id, key, bands, text_hash, norm), and classes (key, least, copies, component,
+    w).  The key of a class is a hash of its folded text, null without a word."""
     spark = docs.sparkSession
     bands, r = bands_for(threshold, recall)
     seeds = np.random.default_rng(3).integers(1, 1 << 63, (2, bands * r), dtype=np.uint64)
@@ -164,17 +181,20 @@ def _members(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: dict[str, np.ndarray] = {}
-            out = []
-            for key, norm in rows(batch, "key", "norm"):
+            done: dict[bytes, np.ndarray] = {}
+            keys, out, hashes, norms = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                norm = folded(text)
+                key = hashlib.md5(norm.encode("utf-8", "surrogatepass")).digest() if norm else None
                 if norm and key not in done:
                     done[key] = signature(norm, n, bands, r, a, c)
+                keys.append(key)
                 out.append(done[key] if norm else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                hashes.append(None if text is None else hashlib.sha256(text.encode()).digest())
+                norms.append(norm)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(hashes, pa.binary()), pa.array(norms, pa.string())], names=["doc_id", "key", "bands", "text_hash", "norm"])
 
-    norm = documents(docs).select("doc_id", folded(F.col("text")).alias("norm"))
-    keyed = norm.select("doc_id", F.when(F.col("norm") != "", F.unhex(F.md5("norm"))).alias("key"), "norm")
-    signed = table(keyed.mapInArrow(sign, "doc_id long, key binary, bands array<long>"), "signed")
+    signed = table(documents(docs).mapInArrow(sign, "doc_id long, key binary, bands array<long>, text_hash binary, norm string"), "signed")
     classes = table(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
 
     # candidates: every class of a band bucket with the smallest one there
@@ -186,7 +206,7 @@ def _members(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[
 
     # the texts of candidate classes, one row for each class
     wanted = candidates.join(classes.select("key", "least", "copies"), "key")
-    texts = keyed.join(wanted, "key").where("doc_id <=> least").dropDuplicates(["key"])
+    texts = signed.select("doc_id", "key", "norm").join(wanted, "key").where("doc_id <=> least").dropDuplicates(["key"])
     dealt = table(tiles(texts.select("key", "component", "copies", "norm"), sizes, "key"), "tiles")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt.count() // GROUP_ROWS + 1)
     dealt = dealt.withColumn("group", F.pmod(F.xxhash64("component", "ti", "tj"), F.lit(groups)))
