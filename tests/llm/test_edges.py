@@ -150,3 +150,37 @@ def test_pipeline_keeps_rows_that_share_an_id(spark):
     assert len(cut) == len(texts)
     assert sorted(r.text for r in cut if r.doc_id == 7) == sorted(t for i, t in texts if i == 7)
     assert sorted(r.text for r in cut if r.doc_id == 9) == ["nineend", "startten"]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, odd, none, labels):
+    """Each stage on nulls, empty and very long texts, repeated rows, extra columns and an
+    empty table; all but the last give the columns of documents."""
+    import corpus_pipeline as pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for n, rows in enumerate((odd, none)):
+        ids = {r.doc_id for r in rows.collect()}
+        for name, stage in pipeline.STAGES:
+            left = stage(spark, rows, str(tmp_path))
+            left.write.parquet(f"{tmp_path}/{name}-{n}")
+            got = spark.read.parquet(f"{tmp_path}/{name}-{n}")
+            assert {r.doc_id for r in got.collect()} <= ids
+            if name != "packing":
+                assert left.columns == list(pipeline.COLUMNS)
+            if name == "repeats":
+                assert got.count() == rows.count()
+            if name == "packing":
+                assert sum(r.length for r in got.collect()) == sum(r.doc_tokens for r in got.collect() if r.start == 0)
+
+
+def test_repeats_carry_columns(odd):
+    got = {(r.doc_id, r.rest.lang, r.kept_text) for r in repeats.remove_repeats(odd, 20, 8, more=("lang", "key")).collect()}
+    assert (1, "en", None) in got and (2, "en", "") in got and (7, "de", "der hund und die katze sind im haus") in got
+
+
+def test_repeats_of_equal_and_partly_equal_texts(spark):
+    a, b = "x" * 5 + "0123456789abcdefghij" + "y" * 5, "0123456789abcdefghij"
+    given = spark.createDataFrame([(1, a), (2, a), (3, "p" + b + "q"), (4, "short"), (5, "short")], "doc_id bigint, text string")
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(given, 20, 8).collect()}
+    # copies of 20 bytes or more go whole, shorter ones stay; a passage that copies hold goes elsewhere too
+    assert got == {1: b"", 2: b"", 3: b"pq", 4: b"short", 5: b"short"}
