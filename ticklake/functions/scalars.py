@@ -130,11 +130,13 @@ def to_unix_sec(n: Column) -> Column:
 
 
 def is_headline(key: Column) -> Column:
+    """Whether a metric is shown first.  Fixed values: the parts of names that are."""
     return F.lower(key).rlike(r"msgs_per_s|events_per_s|multiplier|bytes_per_event|gb_per_s|total_added|(^|[._])(p50|p90|p99|p999)([._]|$)")
 
 
 def unit_for(key: Column) -> Column:
     """Display unit of a metric name: by what it contains, else its last unit word."""
+    # fixed values: parts of names and unit words with the units they stand for
     k = F.lower(key)
     named = [("msgs_per_s", "msgs/s"), ("events_per_s", "events/s"), ("gb_per_s", "GB/s"), ("bytes_per_event", "B/event"), ("multiplier", "x")]
     out = None
