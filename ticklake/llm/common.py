@@ -46,15 +46,25 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Paths of the intermediate tables that this driver wrote and has not deleted."""
+    return list(_WRITTEN)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> int:
+    """Delete intermediate tables that nothing reads any more; how many there were."""
+    gone = [p for p in paths if p in _WRITTEN]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(p)
+    return len(gone)
+
+
 def cleanup(spark: SparkSession) -> int:
     """Delete the intermediate tables written by this driver so far; call it when
     the results that read them have been stored."""
-    n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        n += 1
-    return n
+    return drop(spark, written())
 
 
 def prepare(spark: SparkSession) -> None:
