@@ -2,28 +2,49 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to the
 shared folder and reads it back as the next stage's ``docs``.  A stage works on all that
-the one before it kept; all but the last return the columns of ``documents``.
+the one before it kept; all but the last return the columns of ``documents``.  A stage's
+result has been written when the next stage begins, so that stage first deletes the
+intermediate tables of the one before.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.llm import jaccard, line_rules, packing, quality, repeats
-from ticklake.llm.common import table
+from ticklake.llm.common import drop, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Intermediate tables of the stage that ran last.
+_LEFT: list[str] = []
+
+
+def _stage(work: Stage) -> Stage:
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _LEFT)
+        before = set(written())
+        result = work(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in written() if p not in before]
+        return result
+
+    return run_stage
+
+
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id the verdict keeps; a null doc_id matches a null."""
     kept = verdict.select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; of rows that repeat a doc_id, all
     stay if one is kept."""
@@ -31,6 +52,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _keep(docs, judged.where("predicted = 1"))
 
 
+@_stage
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line labels reject go; of rows that repeat a
     doc_id, all stay if one is kept."""
@@ -38,6 +60,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, line_rules.judge(docs, field).where("kept"))
 
 
+@_stage
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id, and then text hash,
     stays (a null doc_id comes last); rows without a word are in no group and all stay, and
@@ -56,6 +79,7 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 REPEAT, GRAM = 240, 60
 
 
+@_stage
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of ``REPEAT`` bytes or more that occur elsewhere are cut out of the texts; a
     character that a cut splits goes with it, n_chars follows the text, and documents of no
@@ -66,12 +90,13 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return got.select("doc_id", F.col("kept_text").alias("text"), F.col("rest.lang").alias("lang"), F.col("rest.source").alias("source"), n_chars.alias("n_chars"))
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 tokens."""
     return packing.digest(packing.pack_documents(docs))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_stage),
     ("rules", rules_stage),
     ("duplicates", duplicates_stage),
@@ -85,7 +110,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(spark, held)
+        docs, held = kept, written()[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
