@@ -32,7 +32,8 @@ def _stage(work: Stage) -> Stage:
         drop(spark, _LEFT)
         before = set(written())
         result = work(spark, docs, sf_dir)
-        _LEFT[:] = [p for p in written() if p not in before]
+        # what the last stage returns is still to be read
+        _LEFT[:] = [p for p in written() if p not in before] if result.columns == list(COLUMNS) else []
         return result
 
     return run_stage
