@@ -431,6 +431,26 @@ def test_copies_are_no_template():
     assert html_text.extract(other, wrapper) == "Another\nSome more words here."
 
 
+def test_rare_slots_and_layouts_are_kept(spark):
+    """A slot that one page of many has, and pages laid out unlike most, lose no text."""
+    rnd = random.Random(6)
+    prose = lambda n: " ".join(rnd.choice("river mountain engine paper window garden silver".split()) + str(rnd.randint(0, 99)) for _ in range(n))
+    pages, want = [], []
+    for i in range(40):
+        body, rare = [prose(80), prose(60)], ["Ah!"] if i == 7 else []
+        tag = "main" if i % 4 else "section"
+        pages.append(f"<body><div class=top>{prose(1)}</div><{tag}><h1>Title {i}</h1><p>{body[0]}</p>" + "".join(f"<blockquote>{x}</blockquote>" for x in rare) + f"<p>{body[1]}</p></{tag}><footer>f</footer>")
+        want.append([f"Title {i}", body[0], *rare, body[1]])
+    wrapper = html_text.host_wrapper(pages)
+    texts = [html_text.extract(p, wrapper).split("\n") for p in pages]
+    assert texts[7] == want[7]
+    # nothing but tags speaks for the text above the few pages of the other layout
+    assert [x if i % 4 else x[1:] for i, x in enumerate(texts)] == want
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == texts
+
+
 def test_pipeline_stages(spark, documents):
     import corpus_pipeline as pipeline
 

@@ -29,9 +29,9 @@ from ticklake.llm.common import prepare, rows, table
 #: A text is a fixed token if so many pages of a host repeat it, and this share of them; if
 #: fixed tokens hold more than FIXED of a host's text, its pages are copies and none is fixed.
 REPEATS, SHARE, FIXED = 5, 0.6, 0.3
-#: The region of the content holds this share of a host's varying text; slots below MINOR of
-#: all its text are judged alone.  Groups of this link share are menus.
-REGION, MINOR, MENU = 0.6, 1e-4, 0.6
+#: The region of the content holds this share of a host's varying text; a page without text
+#: there is judged by tags.  Groups of this link share are menus.
+REGION, MENU = 0.6, 0.6
 #: Parts that a host's streams are dealt to before they meet.
 PARTS = 8
 #: Bytes of all wrappers together up to which they are broadcast.
@@ -338,9 +338,12 @@ def extract(page: str, wrapper: Wrapper) -> str:
     if wrapper.known:
         stream = stream_of(got, wrapper.fixed)
         read = parse(stream, wrapper.nodes)
-        for i, (x, node) in enumerate(zip(stream, read, strict=True)):
-            if node >= 0 and "a" not in _flags(x):
-                alone[i] = wrapper.keep[node] and x in wrapper.content
+        placed = [node >= 0 and "a" not in _flags(x) for x, node in zip(stream, read, strict=True)]
+        kept = [p and wrapper.keep[node] and x in wrapper.content for p, x, node in zip(placed, stream, read, strict=True)]
+        if any(kept):
+            alone = [k if p else own for k, p, own in zip(kept, placed, alone, strict=True)]
+        else:  # a layout of few pages: only menus and fixed tokens are known of it
+            alone = [own and not (p and (wrapper.menu[node] or "=" in x.rpartition(" ")[2])) for own, p, x, node in zip(alone, placed, stream, read, strict=True)]
     return "\n".join(b[1] for b, kept in zip(got, alone, strict=True) if kept)
 
 
@@ -366,7 +369,6 @@ def host_wrapper(pages: list[str]) -> Wrapper:
     n = len(pages)
     texts = {k: v for k, v in facts.items() if k[0]}
     plain = {k: v for k, v in texts.items() if "a" not in _flags(k[0])}
-    total = sum(v[1] for v in texts.values())
     fixed = {k: v[1] for k, v in plain.items() if v[0] >= REPEATS and v[0] >= SHARE * n}
     if sum(fixed.values()) > FIXED * sum(v[1] for v in plain.values()):
         fixed = {}
@@ -374,7 +376,6 @@ def host_wrapper(pages: list[str]) -> Wrapper:
     for (x, _), (_, chars, linked) in texts.items():
         a, b = slots.get(x, (0, 0))
         slots[x] = a + chars, b + linked
-    slots = {x: v for x, v in slots.items() if v[0] >= MINOR * total}
     if n < 2:
         return Wrapper(None)
     grown = Inference()
@@ -394,7 +395,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url and text (empty if there is none).
 
     Null html counts as empty; pages without a host share one wrapper; a host's only page,
-    and blocks its wrapper cannot place, are judged by tags, class words and link share;
+    blocks its wrapper cannot place, and pages without text in its region, are judged by
+    tags, class words and link share; slots count however little text they hold;
     rows that repeat a page_id are read each; very long pages are read whole; equal streams
     count once and are aligned in their textual order, so ties do not matter; columns other
     than page_id, url and html are not read; an empty table gives no rows."""
@@ -416,14 +418,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
     counted = given.select("host", "html").mapInArrow(count, "host string, symbol string, token long, pages long, chars long, linked long")
     texts = table(counted.groupBy("host", "symbol", "token").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")), "texts")
     apart = F.substring_index("symbol", " ", -1).contains("a")
-    totals = texts.groupBy("host").agg(F.sum(F.when(F.col("symbol") == "", F.col("pages"))).alias("n"), F.sum("chars").alias("total"), F.sum(F.when(~apart, F.col("chars"))).alias("plain")).where("n > 1")
+    totals = texts.groupBy("host").agg(F.sum(F.when(F.col("symbol") == "", F.col("pages"))).alias("n"), F.sum(F.when(~apart, F.col("chars"))).alias("plain")).where("n > 1")
     totals = table(totals, "hosts")
     repeated = texts.where((F.col("symbol") != "") & ~apart & (F.col("pages") >= REPEATS)).join(totals, "host").where(F.col("pages") >= SHARE * F.col("n"))
     # at most the blocks of a page over SHARE for each host
     fixed = repeated.groupBy("host").agg(F.sum("chars").alias("held"), F.first("plain").alias("plain"), F.collect_list(F.struct("symbol", "token")).alias("fixed")).where(F.col("held") <= FIXED * F.col("plain")).select("host", F.to_json(F.sort_array("fixed")).alias("fixed"))
     fixed = table(fixed, "fixed")
-    # at most 1 / MINOR symbols for each host
-    slots = texts.where("symbol <> ''").groupBy("host", "symbol").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).join(totals, "host").where(F.col("chars") >= MINOR * F.col("total"))
+    # every symbol of a host, as in its expression
+    slots = texts.where("symbol <> ''").groupBy("host", "symbol").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).join(totals.select("host"), "host")
     slots = slots.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("symbol", "chars", "linked")))).alias("slots"))
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
