@@ -68,6 +68,20 @@ def test_word_encoder(texts):
     assert [x.tolist() for x in code.encode([])] == [[], [0]]
 
 
+def test_words_share_marks_and_line_ends():
+    """Marks and line ends after letters are words of their own, wherever that gives the library's ids."""
+    code = tokens.WordEncoder(tokens.default_path())
+    rnd = random.Random(3)
+    ends = [" ", "\n", ", ", ". ", ".\n", ",\n", "? ", ")", "; ", "'s ", "-", ".\n\n", ", \n", "\t", ".,", "\u2003", "\x1c"]
+    texts = ["".join(rnd.choice(["Haus", "Zoë", "a", "x1", "½", "漢", "_", "٣"]) + rnd.choice(ends[: 8 if i % 2 else None]) for _ in range(30)) for i in range(400)]
+    want = [e.ids for e in code.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, edges = code.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == want
+    code = tokens.WordEncoder(tokens.default_path())
+    code.encode(["alpha, beta.\nGamma alpha.\nbeta, Gamma, alpha"])
+    assert not {w for w in code.slots if len(w) > 2} - {"alpha", "beta", "Gamma", "\x1calpha", "\x1cbeta", "\x1cGamma"}
+
+
 def _parts(code, texts, keys=None):
     ids, edges = code.encode(texts, keys)
     return [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)]

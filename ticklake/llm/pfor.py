@@ -19,8 +19,8 @@ _MAGIC = b"PFR1"
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
-    """Bits that each value needs."""
-    return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.int64) + 1, 0)
+    """Bits that each value below 2**53 needs: the exponent of its float, 0 for 0."""
+    return np.frexp(x.astype(np.float64))[1]
 
 
 def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
@@ -34,22 +34,22 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     full = full.reshape(blocks, BLOCK)
     low = full.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = (full - low[:, None]).astype(np.uint64)
-    width = np.sort(_widths(rest), axis=1)[:, min(BLOCK - 1, int(percentile * BLOCK))] if blocks else np.zeros(0, np.int64)
+    bits, place = _widths(rest), min(BLOCK - 1, int(percentile * BLOCK))
+    width = np.partition(bits, place, axis=1)[:, place].astype(np.int64) if blocks else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(2 * width)]).astype(np.uint32)  # in 64-bit words: 128 values of w bits are 2w words
-    over = rest >> width.astype(np.uint64)[:, None] > 0
-    at = np.flatnonzero(over.ravel()).astype(np.uint32)
+    at = np.flatnonzero((bits > width[:, None]).ravel()).astype(np.uint32)
     values = full.ravel()[at]
     words = np.zeros(int(starts[-1]), np.uint64)
     for w in np.unique(width[width > 0]):
         mine = np.flatnonzero(width == w)
-        kept = rest[mine] & np.uint64((1 << int(w)) - 1)
-        out = np.zeros((len(mine), 2 * int(w)), np.uint64)
+        kept = np.ascontiguousarray(rest[mine].T) & np.uint64((1 << int(w)) - 1)
+        out = np.zeros((2 * int(w), len(mine)), np.uint64)
         for i in range(BLOCK):
             word, shift = divmod(i * int(w), 64)
-            out[:, word] |= kept[:, i] << np.uint64(shift)
+            out[word] |= kept[i] << np.uint64(shift)
             if shift + w > 64:
-                out[:, word + 1] |= kept[:, i] >> np.uint64(64 - shift)
-        words[(starts[mine][:, None] + np.arange(2 * int(w), dtype=np.uint32)).ravel()] = out.ravel()
+                out[word + 1] |= kept[i] >> np.uint64(64 - shift)
+        words[starts[mine][:, None] + np.arange(2 * int(w), dtype=np.uint32)] = out.T
     return b"".join([_HEAD.pack(_MAGIC, n, blocks, len(words), len(at)), low.astype("<u4").tobytes(), width.astype("u1").tobytes(), starts.astype("<u4").tobytes(), words.astype("<u8").tobytes(), at.astype("<u4").tobytes(), values.astype("<u4").tobytes()])
 
 
@@ -67,14 +67,15 @@ def unpack(chunk: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     out = np.repeat(take["low"][first:last].astype(np.uint64)[:, None], BLOCK, axis=1)
     for w in np.unique(width[width > 0]):
         mine = np.flatnonzero(width == w)
-        got = take["words"][take["starts"][first + mine][:, None].astype(np.int64) + np.arange(2 * int(w))]
+        got = take["words"][take["starts"][first + mine].astype(np.int64) + np.arange(2 * int(w))[:, None]]
         mask = np.uint64((1 << int(w)) - 1)
+        part = np.empty((BLOCK, len(mine)), np.uint64)
         for i in range(BLOCK):
             word, shift = divmod(i * int(w), 64)
-            x = got[:, word] >> np.uint64(shift)
+            part[i] = got[word] >> np.uint64(shift)
             if shift + w > 64:
-                x = x | got[:, word + 1] << np.uint64(64 - shift)
-            out[mine, i] += x & mask
+                part[i] |= got[word + 1] << np.uint64(64 - shift)
+        out[mine] += (part & mask).T
     flat = out.ravel().astype(np.uint32)
     a, b = np.searchsorted(take["at"], [first * BLOCK, last * BLOCK])
     flat[take["at"][a:b].astype(np.int64) - first * BLOCK] = take["values"][a:b]

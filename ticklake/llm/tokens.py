@@ -2,21 +2,27 @@
 word once.
 
 Before a space that a non-space follows, the byte-level pre-tokenizer always starts a new
-piece, so texts are cut there into words.  A new word is cut by the pre-tokenizer's own
-expression, each new piece is merged by the library, and the ids are kept in a bounded pool,
-from which those of many texts are gathered at once.  What this module's character classes
+piece, and a line end between non-spaces is always a piece of its own, so texts are cut
+there into words.  A new word is cut by the pre-tokenizer's own expression, each new piece
+is merged by the library, and the ids are kept in a bounded pool, from which those of many
+texts are gathered at once.  What this module's character classes
 cannot vouch for is handed to the library as it stands.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
 import re
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 
 #: Before such a space a new piece always starts.
 _CUT = re.compile(r" (?=\S)")
+#: Such a line end is a piece of its own.
+_LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
 #: White space to Python only.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: The pre-tokenizer's expression, in ASCII and over the characters that ``_OTHER`` excludes: Latin
@@ -24,8 +30,12 @@ _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞₠-₿]")
-#: A space before white space, where no piece starts.
-_CLOSE = ("  ", " \n", " \t", " \r", " \v", " \f")
+#: White space that is rare.
+_RARE = ("\t", "\r", "\v", "\f")
+#: Marks that are a piece of their own after letters, at the end of a word; the frequent ones
+#: become words.
+_ENDS = frozenset(".,;:!?)")
+_COMMA, _STOP = re.compile(r",(?<=[^\W\d_],)(?=[ \n])"), re.compile(r"\.(?<=[^\W\d_]\.)(?=[ \n])")
 #: Before a key: the piece stands as it is, or the library is to cut it; else a space stands before the word.
 _BARE, _RAW = "\x1c", "\x1d"
 _KEPT: dict[str, "WordEncoder"] = {}
@@ -44,20 +54,6 @@ def encoder(path: str) -> "WordEncoder":
     return _KEPT[path]
 
 
-class _Slots(dict):
-    """Numbers of words; one that is met first gets the next number and is put in ``fresh``."""
-
-    def __init__(self, known: list[str] = ()) -> None:
-        super().__init__(zip(known, range(len(known)), strict=True))
-        self.next, self.fresh = len(known), []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = self.next
-        self.next += 1
-        self.fresh.append(word)
-        return n
-
-
 class WordEncoder:
     """``encode(texts)`` gives the ids of all texts in one array (uint32), and the edges of
     each text's part of it.  Null counts as empty.  Texts that spell a special token are
@@ -75,65 +71,88 @@ class WordEncoder:
         # the byte alphabet: printable characters stand for themselves, the rest follow from 256
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: 256 + i for i, b in enumerate(rest)}
+        letters = {b: 256 + i for i, b in enumerate(rest)}
+        self.letters = "".join(chr(letters.get(b, b)) for b in range(256))
         self.limit, self.at_once, self.slice_chars, self.longest = limit, at_once, slice_chars, longest
         self._reset([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _reset(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.slots = _Slots(words)
+        # numbers of words; one that is met first gets the next number and comes last
+        self.slots = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.held = len(words)
         self.pool, self.counts, self.starts = ids, counts, np.cumsum(counts) - counts
         self.uses = np.zeros(len(words), np.int32)
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _fresh(self) -> list[str]:
+        """The words that have come since the last call, in the order of their numbers."""
+        words = list(islice(reversed(self.slots), len(self.slots) - self.held))
+        self.held = len(self.slots)
+        return words[::-1]
+
     def _learn(self) -> None:
         """Ids of the new words go to the end of the pool: first of words of one piece, then,
         copied from these, of words of several."""
-        slots, letters, merge = self.slots, self.letters, self.tokenizer.model.tokenize
-        words, slots.fresh = slots.fresh, []
-        single: list[str] = []
-        several: list[str] = []
+        slots, known = self.slots, len(self.counts)
+        words = self._fresh()
+        single: list[int] = []
+        pieces: list[str] = []
+        raw: list[int] = []
+        several: list[int] = []
         parts: list[int] = []
         sizes: list[int] = []
-        for word in words:
-            if word.isalpha() or word[0] == _RAW:
-                single.append(word)
-                continue
-            cut = _ASCII if word.isascii() else _LATIN
-            pieces = cut.findall(word[1:] if word[0] == _BARE else " " + word)
-            if len(pieces) == 1:
-                single.append(word)
+        for n, word in enumerate(words, known):
+            if word.isalpha():
+                single.append(n)
+                pieces.append(" " + word)
+            elif word[-1] in _ENDS and word[:-1].isalpha():
+                several.append(n)
+                sizes.append(2)
+                parts += slots[word[:-1]], slots[_BARE + word[-1]]
+            elif word[0] == _RAW:
+                raw.append(n)
             else:
-                several.append(word)
-                sizes.append(len(pieces))
-                parts += [slots[x[1:] if x[0] == " " and not x.isspace() else _BARE + x] for x in pieces]
-        single += slots.fresh  # pieces that have not been words so far
+                whole = word[1:] if word[0] == _BARE else " " + word
+                found = (_ASCII if word.isascii() else _LATIN).findall(whole)
+                if len(found) == 1:
+                    single.append(n)
+                    pieces.append(whole)
+                else:
+                    several.append(n)
+                    sizes.append(len(found))
+                    parts += [slots[x[1:] if x[0] == " " and not x.isspace() else _BARE + x] for x in found]
+        more = self._fresh()  # pieces that have not been words so far
+        single += range(known + len(words), known + len(words) + len(more))
+        pieces += [x[1:] if x[0] == _BARE else " " + x for x in more]
         ids: list[int] = []
         counts: list[int] = []
-        for word in single:
-            if word[0] == _RAW:
-                got = self._library(word[1:])
-            else:
-                piece = word[1:] if word[0] == _BARE else " " + word
-                got = [t.id for t in merge((piece if piece.isascii() else piece.encode().decode("latin-1")).translate(letters))]
+        merge = self.tokenizer.model.tokenize
+        # the byte alphabet for all at once; no piece holds the control between them
+        joined = codecs.charmap_decode("\x1f".join(pieces).encode(), "strict", self.letters)[0]
+        for piece in joined.split(self.letters[0x1F]) if pieces else ():
+            got = [t.id for t in merge(piece)]
+            ids += got
+            counts.append(len(got))
+        for n in raw:
+            got = self._library(words[n - known][1:])
             ids += got
             counts.append(len(got))
-        self._add(single, np.array(ids, np.uint32), np.array(counts, np.int64))
+        self._add(single + raw, np.array(ids, np.uint32), np.array(counts, np.int64), len(words) + len(more))
         if several:
             copied, edges = self._gather(np.array(parts, np.int64))
             ends = edges[np.cumsum(sizes)]
             self._add(several, copied, np.diff(ends, prepend=0))
-        for word in [*words, *slots.fresh]:
-            if len(word) > self.longest:
-                del slots[word]
-        slots.fresh = []
-
-    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        new = self.slots.next - len(self.counts)
-        if new > 0:
+        for word in [w for x in (words, more) for w in x if len(w) > self.longest]:
+            del slots[word]
+        self.held = len(slots)
+
+    def _add(self, numbers: list[int], ids: np.ndarray, counts: np.ndarray, new: int = 0) -> None:
+        """Ids of the words of these numbers, after room was made for ``new`` numbers."""
+        if new:
             self.counts, self.starts, self.uses = (np.concatenate([x, np.zeros(new, x.dtype)]) for x in (self.counts, self.starts, self.uses))
-        at = np.array([self.slots[w] for w in words], np.int64)
+        at = np.array(numbers, np.int64)
         self.counts[at], self.starts[at] = counts, len(self.pool) + np.cumsum(counts) - counts
         self.pool = np.concatenate([self.pool, ids])
 
@@ -163,10 +182,14 @@ class WordEncoder:
             plain = not odd or text.isprintable() or not any(c.isspace() and c not in "\t\n\v\f\r " for c in set(text))
         if not plain:
             return [_RAW + text]
-        words = _CUT.split(text) if text[-1] == " " or any(map(text.__contains__, _CLOSE)) else text.split(" ")
+        if text[-1] == " " or "  " in text or any(map(text.__contains__, _RARE)) or " \n" in text:
+            words = _CUT.split(text)
+        else:
+            text = _STOP.sub(f" {_BARE}.", _COMMA.sub(f" {_BARE},", text))
+            words = (_LINE.sub(f" {_BARE}\n {_BARE}", text) if "\n" in text else text).split(" ")
         words[0] = _BARE + words[0]
         if odd:
-            words = [w if w.isascii() or _OTHER.search(w) is None else _RAW + (w[1:] if w[0] == _BARE else " " + w) for w in words]
+            words = [w if w.isascii() or _OTHER.search(w, w[0] == _BARE) is None else _RAW + (w[1:] if w[0] == _BARE else " " + w) for w in words]
         return words[1:] if words[0] == _BARE else words
 
     def _slices(self, text: str) -> list[str]:
@@ -189,7 +212,7 @@ class WordEncoder:
             nonlocal words, marks
             self._forget()
             at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-            if self.slots.fresh:
+            if len(self.slots) > self.held:
                 self._learn()
             self.uses += np.bincount(at, minlength=len(self.uses)) > 0
             ids, edges = self._gather(at)
