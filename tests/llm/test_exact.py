@@ -82,6 +82,17 @@ def test_words_share_marks_and_line_ends():
     assert not {w for w in code.slots if len(w) > 2} - {"alpha", "beta", "Gamma", "\x1calpha", "\x1cbeta", "\x1cGamma"}
 
 
+def test_packed_ids_equal_library(spark, texts):
+    sample = [*list(texts.values())[:80], None, "", "One, two.\nThree, four.\n", "word, " * 3000]
+    code = tokens.WordEncoder(tokens.default_path())
+    want = {i: [*code.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(sample)}
+    got: dict[int, list[int]] = {i: [] for i in want}
+    for r in sorted(packing.pack_documents(spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string")).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert (r.start, r.length, r.doc_tokens) == (len(got[r.doc_id]), len(r.ids) // 4, len(want[r.doc_id]))
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == want
+
+
 def _parts(code, texts, keys=None):
     ids, edges = code.encode(texts, keys)
     return [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)]

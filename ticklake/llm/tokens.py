@@ -38,6 +38,8 @@ _ENDS = frozenset(".,;:!?)")
 _COMMA, _STOP = re.compile(r",(?<=[^\W\d_],)(?=[ \n])"), re.compile(r"\.(?<=[^\W\d_]\.)(?=[ \n])")
 #: Before a key: the piece stands as it is, or the library is to cut it; else a space stands before the word.
 _BARE, _RAW = "\x1c", "\x1d"
+#: Pieces that are put into the byte alphabet at once.
+_BLOCK = 1 << 13
 _KEPT: dict[str, "WordEncoder"] = {}
 
 
@@ -60,7 +62,7 @@ class WordEncoder:
     ordinary text.  Very long texts are cut into slices, and at most about ``at_once``
     words are held as strings."""
 
-    def __init__(self, path: str, limit: int = 1_500_000, at_once: int = 1_000_000, slice_chars: int = 1 << 20, longest: int = 64):
+    def __init__(self, path: str, limit: int = 1_250_000, at_once: int = 1_000_000, slice_chars: int = 1 << 20, longest: int = 64):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,12 +131,13 @@ class WordEncoder:
         ids: list[int] = []
         counts: list[int] = []
         merge = self.tokenizer.model.tokenize
-        # the byte alphabet for all at once; no piece holds the control between them
-        joined = codecs.charmap_decode("\x1f".join(pieces).encode(), "strict", self.letters)[0]
-        for piece in joined.split(self.letters[0x1F]) if pieces else ():
-            got = [t.id for t in merge(piece)]
-            ids += got
-            counts.append(len(got))
+        for lo in range(0, len(pieces), _BLOCK):
+            # the byte alphabet for many at once; no piece holds the control between them
+            joined = codecs.charmap_decode("\x1f".join(pieces[lo : lo + _BLOCK]).encode(), "strict", self.letters)[0]
+            for piece in joined.split(self.letters[0x1F]):
+                got = [t.id for t in merge(piece)]
+                ids += got
+                counts.append(len(got))
         for n in raw:
             got = self._library(words[n - known][1:])
             ids += got
